@@ -1,0 +1,5 @@
+"""Intentionally empty: every job of this package is a full batch rebuild.
+
+No operator of the inventory keeps state between runs, so there is no stream,
+watermark or state store to express.
+"""
