@@ -8,8 +8,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kinloom.functions.expr import pair_count
+from kinloom.operators.compare import with_parts
 from kinloom.schemas import COMPARED, RECORD_ID
-from kinloom.session import materialize
+from kinloom.session import materialize, shuffle_partitions
 
 # The blocking rules and the deterministic rules of the prior.
 BLOCKING_RULES = (
@@ -49,14 +50,12 @@ def collapse(captured: DataFrame) -> DataFrame:
     Exact copies, however many, would score alike against everything; from here on
     they are one row, and the pairs among them are counted instead of listed.
     """
-    return (
-        captured.groupBy("capture")
-        .agg(
+    return with_parts(
+        captured.groupBy("capture").agg(
             F.min(RECORD_ID).alias("rep"),
             F.count(F.lit(1)).alias("copies"),
             *[F.min(c).alias(c) for c in COMPARED],
         )
-        .withColumn("initial", F.substring("first_name", 1, 1))
     )
 
 
@@ -198,7 +197,10 @@ def candidate_pairs(vectors: DataFrame, rules: tuple[Rule, ...] = BLOCKING_RULES
             F.col("tile").alias("tj"),
         )
         on = ["block", "ti", "tj"]
-    joined = left.join(right, on)
+    # A fixed number of partitions: pairs multiply after the join, so AQE must not
+    # merge these because their inputs look small.
+    n = shuffle_partitions(vectors.sparkSession)
+    joined = left.repartition(n, *on).join(right.repartition(n, *on), on)
     in_order = F.col("l.rep") < F.col("r.rep")
     if n_hot:
         joined = joined.filter((F.col("ti") < F.col("tj")) | in_order)

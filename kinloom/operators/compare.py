@@ -33,77 +33,88 @@ def _name(left: Column, right: Column, similarity: Column) -> Column:
     )
 
 
-def _birth_date(left: Column, right: Column) -> Column:
-    a, b = F.try_to_date(left, "yyyy-MM-dd"), F.try_to_date(right, "yyyy-MM-dd")
-    swapped = F.concat(F.substring(left, 1, 5), F.substring(left, 9, 2), F.lit("-"), F.substring(left, 6, 2)) == right
-    days = F.abs(F.datediff(a, b))
+def with_parts(captured: DataFrame) -> DataFrame:
+    """What the ladders look at, derived once per capture instead of once per pair."""
+    code = F.replace(F.col("postcode"), F.lit(" "), F.lit(""))
+    return captured.withColumns(
+        {
+            "initial": F.substring("first_name", 1, 1),
+            "born": F.unix_date(F.try_to_date("date_of_birth", "yyyy-MM-dd")),
+            "user": F.substring_index("email", "@", 1),
+            "code": code,
+            "outward": F.when(F.length(code) > 3, F.left(code, F.length(code) - 3)),
+            "area": F.nullif(F.regexp_extract(code, "^([A-Za-z]+)", 1), F.lit("")),
+        }
+    )
+
+
+PARTS = ("initial", "born", "user", "code", "outward", "area")
+
+
+def _birth_date(left: Column, right: Column, distance: Column) -> Column:
+    """Structs of the text and its day number; an unreadable date is missing."""
+    a, b = left["date_of_birth"], right["date_of_birth"]
+    swapped = F.concat(F.substring(a, 1, 5), F.substring(a, 9, 2), F.lit("-"), F.substring(a, 6, 2)) == b
+    days = F.abs(left["born"] - right["born"])
     return _ladder(
-        F.when(a.isNotNull(), left),
-        F.when(b.isNotNull(), right),
-        (4, left == right),
-        (3, swapped | (F.levenshtein(left, right, 1) >= 0)),
+        left["born"],
+        right["born"],
+        (4, a == b),
+        (3, swapped | (distance >= 0)),
         (2, days <= 31),
         (1, days <= 366),
     )
 
 
-def _edits(left: Column, right: Column, *limits: int) -> Column:
-    """Exact on top, then one level per edit limit; a single bounded distance."""
-    distance = F.levenshtein(left, right, max(limits))
-    steps = [(len(limits) + 1, left == right)]
-    steps += [(len(limits) - i, (distance >= 0) & (distance <= d)) for i, d in enumerate(limits)]
-    return _ladder(left, right, *steps)
+EDIT_LIMITS = {"phone": (1, 2), "address": (2, 5, 10), "date_of_birth": (1,)}
 
 
-def _postcode(left: Column, right: Column) -> Column:
-    a, b = (F.replace(c, F.lit(" "), F.lit("")) for c in (left, right))
-    outward = lambda c: F.left(c, F.length(c) - 3)
-    area = lambda c: F.regexp_extract(c, "^([A-Za-z]+)", 1)
-    return _ladder(
-        left,
-        right,
-        (3, a == b),
-        (2, (F.length(a) > 3) & (outward(a) == outward(b))),
-        (1, (area(a) != "") & (area(a) == area(b))),
-    )
+def _distance(left: Column, right: Column, limit: int) -> Column:
+    """Edit distance up to `limit`, -1 beyond it; only for values that differ."""
+    return F.when(left != right, F.levenshtein(left, right, limit))
 
 
-def user_part(email: Column) -> Column:
-    return F.substring_index(email, "@", 1)
+def _edits(left: Column, right: Column, distance: Column, limits: tuple[int, ...]) -> Column:
+    """Exact on top, then one level per edit limit."""
+    steps = [(len(limits) + 1, left == right)]
+    steps += [(len(limits) - i, distance.between(0, d)) for i, d in enumerate(limits)]
+    return _ladder(left, right, *steps)
 
 
 def gammas(pairs: DataFrame, fields: tuple[str, ...] = COMPARED) -> DataFrame:
     """Add `gamma_<field>` for the fields of the structs `l` and `r`."""
-    left = {f: F.col(f"l.{f}") for f in fields}
-    right = {f: F.col(f"r.{f}") for f in fields}
+    left, right = F.col("l"), F.col("r")
     fuzzy = {f: (left[f], right[f]) for f in ("first_name", "last_name", "email") if f in fields}
     if "email" in fields:
-        fuzzy["user"] = (user_part(left["email"]), user_part(right["email"]))
+        other_user = left["user"] != right["user"]
+        fuzzy["email"] = (F.when(other_user, left["email"]), F.when(other_user, right["email"]))
+        fuzzy["user"] = (left["user"], right["user"])
     out = pairs.withColumn("sim", similarities(fuzzy)) if fuzzy else pairs
+    # Distances get columns of their own, so that a ladder's steps share one result.
+    out = out.withColumns(
+        {f"d_{f}": _distance(left[f], right[f], max(d)) for f, d in EDIT_LIMITS.items() if f in fields}
+    )
     levels: dict[str, Column] = {}
     for f in fields:
         a, b, s = left[f], right[f], F.col(f"sim.{f}")
         if f in ("first_name", "last_name"):
             levels[f] = _name(a, b, s)
         elif f == "date_of_birth":
-            levels[f] = _birth_date(a, b)
+            levels[f] = _birth_date(left, right, F.col("d_date_of_birth"))
         elif f == "email":
-            levels[f] = _ladder(
-                a, b, (4, a == b), (3, user_part(a) == user_part(b)), (2, s >= 0.88), (1, F.col("sim.user") >= 0.88)
-            )
-        elif f == "phone":
-            levels[f] = _edits(a, b, 1, 2)
-        elif f == "address":
-            levels[f] = _edits(a, b, 2, 5, 10)
+            same_user = left["user"] == right["user"]
+            levels[f] = _ladder(a, b, (4, a == b), (3, same_user), (2, s >= 0.88), (1, F.col("sim.user") >= 0.88))
+        elif f in EDIT_LIMITS:
+            levels[f] = _edits(a, b, F.col(f"d_{f}"), EDIT_LIMITS[f])
         else:
-            levels[f] = _postcode(a, b)
-    return out.withColumns({f"gamma_{f}": g for f, g in levels.items()}).drop("sim")
+            steps = [(3, "code"), (2, "outward"), (1, "area")]
+            levels[f] = _ladder(a, b, *[(v, left[part] == right[part]) for v, part in steps])
+    return out.withColumns({f"gamma_{f}": g for f, g in levels.items()}).drop("sim", *[f"d_{f}" for f in EDIT_LIMITS])
 
 
 def own_gammas(vectors: DataFrame) -> DataFrame:
     """Levels of a capture against its own copies: top where present, else -1."""
-    born = F.try_to_date("date_of_birth", "yyyy-MM-dd")
-    present = {f: (born if f == "date_of_birth" else F.col(f)).isNotNull() for f in COMPARED}
+    present = {f: F.col("born" if f == "date_of_birth" else f).isNotNull() for f in COMPARED}
     return vectors.withColumns(
         {f"gamma_{f}": F.when(present[f], TOP_LEVEL[f]).otherwise(-1).cast("int") for f in COMPARED}
     )

@@ -18,9 +18,9 @@ from kinloom.operators.blocking import (
     collapse,
     union_pair_counts,
 )
-from kinloom.operators.compare import TOP_LEVEL, gammas, own_gammas
+from kinloom.operators.compare import PARTS, TOP_LEVEL, gammas, own_gammas, with_parts
 from kinloom.schemas import COMPARED
-from kinloom.session import materialize
+from kinloom.session import materialize, shuffle_partitions
 
 # Training settings.
 RECALL = 0.6
@@ -70,6 +70,7 @@ def random_pairs(captured: DataFrame, max_pairs: int = MAX_RANDOM_PAIRS, seed: i
     Sampled rows stand in a ring in hash order and each meets the rows at the next
     offsets. That is an equi-join on ring positions, not a product of the sample.
     """
+    captured = with_parts(captured)
     columns = captured.columns
     order = F.xxhash64(F.lit(seed), F.col("source_record_id"))
     sample = captured.withColumn("_h", order).orderBy("_h", "source_record_id").limit(SAMPLE_ROWS)
@@ -78,13 +79,13 @@ def random_pairs(captured: DataFrame, max_pairs: int = MAX_RANDOM_PAIRS, seed: i
     ring = materialize(ring.select("pos", F.struct(*columns).alias("side")), "ring")
     n = ring.count()
     steps = max(min((n - 1) // 2, -(-max_pairs // max(n, 1))), 1)
-    if n < 2:
-        steps = 0
-    left = ring.select(F.col("side").alias("l"), F.explode(F.sequence(F.lit(1), F.lit(steps))).alias("step"), "pos") \
-        .withColumn("meets", (F.col("pos") + F.col("step")) % F.lit(max(n, 1))) if steps else None
-    if left is None:
-        return ring.select(F.col("side").alias("l"), F.col("side").alias("r")).limit(0)
-    return left.join(ring.select(F.col("side").alias("r"), F.col("pos").alias("meets")), "meets").select("l", "r")
+    offsets = F.sequence(F.lit(1), F.lit(steps)) if n > 1 else F.array().cast("array<int>")
+    left = ring.repartition(shuffle_partitions(ring.sparkSession), "pos").select(
+        F.col("side").alias("l"), "pos", F.explode(offsets).alias("step")
+    )
+    meets = (F.col("pos") + F.col("step")) % F.lit(max(n, 1))
+    right = F.broadcast(ring.select(F.col("side").alias("r"), F.col("pos").alias("meets")))
+    return left.withColumn("meets", meets).join(right, "meets").select("l", "r")
 
 
 def level_counts(pairs_with_gammas: DataFrame, fields: tuple[str, ...] = COMPARED) -> DataFrame:
@@ -112,7 +113,7 @@ def gamma_patterns(vectors: DataFrame, rule: Rule, fields: tuple[str, ...]) -> D
     n over 2 pairs inside one. At most 6^k patterns exist, whatever the data size.
     """
     names = [f"gamma_{f}" for f in fields]
-    kept = vectors.select("rep", "copies", *COMPARED, "initial")
+    kept = vectors.select("rep", "copies", *COMPARED, *PARTS)
     between = gammas(candidate_pairs(kept, (rule,)), fields).select(
         *names, (F.col("l.copies") * F.col("r.copies")).cast("double").alias("w")
     )

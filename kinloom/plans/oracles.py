@@ -535,3 +535,136 @@ ORACLES["report_profiles"] = f"""{WITH_P} SELECT master_citizen_id, preferred_na
 _TITLE = "array_to_string(list_transform(string_split(lower(record_type),'_'), lambda w: upper(w[1]) || w[2:]), ' ')"
 ORACLES["report_table"] = f"""WITH {LINKED} SELECT master_citizen_id, source_record_id, agency, {_TITLE} AS record_type, record_date,
   coalesce(nullif(status,''),'-') AS status, CAST(CAST(CAST(match_probability AS DECIMAL(9,6))*100 AS DECIMAL(5,1)) AS VARCHAR)||'%' AS confidence, {ATTRS} AS details FROM linked"""
+
+# ---- coverage -------------------------------------------------------------------
+
+
+def bits(agencies: str) -> str:
+    return " + ".join(f"CASE WHEN list_contains({agencies}, '{a}') THEN {1 << i} ELSE 0 END" for i, a in enumerate(CANDIDATES))
+
+
+def names(mask: str) -> str:
+    held = ", ".join(f"CASE WHEN ({mask} & {1 << i}) <> 0 THEN '{a}' END" for i, a in enumerate(CANDIDATES))
+    return f"concat_ws('|', {held})"
+
+
+PEERS = f"""people AS MATERIALIZED (SELECT *, {bits("string_split(linked_agencies,'|')")} AS mask FROM profiles),
+freq AS (SELECT b.i, 1 << b.i AS bit, (SELECT count(*) FROM people WHERE (mask & (1 << b.i)) <> 0) AS f FROM range(8) AS b(i)),
+masks AS (SELECT DISTINCT mask FROM people),
+ranked AS (SELECT mask, bit, row_number() OVER (PARTITION BY mask ORDER BY f, i) AS rn FROM masks JOIN freq ON (mask & bit) <> 0),
+sets AS (SELECT m.mask, s.step, m.mask - coalesce((SELECT CAST(sum(bit) AS BIGINT) FROM ranked r WHERE r.mask = m.mask AND r.rn <= s.step), 0) AS used
+  FROM masks m, range(9) AS s(step) WHERE s.step <= bit_count(CAST(m.mask AS INTEGER))),
+sized AS (SELECT *, (SELECT count(*) FROM people p WHERE (p.mask & sets.used) = sets.used) AS peers FROM sets),
+groups AS MATERIALIZED (SELECT * FROM sized WHERE peers >= 100 OR used = 0 QUALIFY row_number() OVER (PARTITION BY mask ORDER BY step) = 1),
+gaps AS (SELECT g.*, b.i, list_extract({list(CANDIDATES)}, CAST(b.i + 1 AS BIGINT)) AS agency,
+  (SELECT count(*) FROM people p WHERE (p.mask & (g.used | (1 << b.i))) = (g.used | (1 << b.i))) AS having_it
+  FROM groups g, range(8) AS b(i) WHERE (g.mask & (1 << b.i)) = 0),
+shown AS (SELECT *, round(having_it / peers, 4) AS prevalence FROM gaps),
+placed AS (SELECT *, CAST(row_number() OVER (PARTITION BY mask ORDER BY prevalence DESC, i) AS INTEGER) AS gap_rank FROM shown)"""
+WITH_PEERS = f"{WITH_P}, {PEERS}"
+ORACLES["peer_groups"] = f"""{WITH_PEERS} SELECT {names('mask')} AS footprint, {names('used')} AS peer_group_definition, peers AS peer_group_size FROM groups"""
+ORACLES["peer_prevalence"] = f"""{WITH_PEERS} SELECT master_citizen_id, gap_rank, agency, having_it AS peers_with_record, prevalence AS peer_prevalence,
+  peers AS peer_group_size, used <> people.mask AS backed_off FROM people JOIN placed ON placed.mask = people.mask"""
+ORACLES["peer_backoff"] = f"""{WITH_PEERS} SELECT master_citizen_id, linked_agencies, people.mask = 255 AS fully_covered, peers AS peer_group_size,
+  {names('used')} AS peer_group_definition, used = 0 AS peer_group_is_population, used <> people.mask AS backed_off,
+  (SELECT count(*) FROM people) AS population FROM people JOIN groups ON groups.mask = people.mask"""
+SERVICE_ROWS = (
+    ("Healthcare", "Register with a GP practice", "Ensures ongoing access to primary care and prescriptions.", "Ferngate Community Health Office"),
+    ("Revenue & Tax", "Register for Self Assessment", "Keeps tax filings and payments up to date.", "Northshire Revenue Office"),
+    ("Employment", "Register with Jobcentre Plus", "Unlocks employment support and job-matching services.", "Aldermoor Employment Office"),
+    ("Driver Licensing", "Apply for a driving licence", "Needed for driving eligibility and identity verification.", "Aldermoor Licensing Centre"),
+    ("Passport Office", "Apply for a passport", "Required for international travel and identity verification.", "Rosewell Passport Office"),
+    ("Social Security", "Check benefit entitlement", "May be eligible for support such as Universal Credit or a pension.", "Kingsmere Social Security Office"),
+    ("Education", "Register for further education", "Explore adult education, apprenticeships, or training programmes.", "Aldergate Sixth Form College"),
+    ("Housing", "Apply for housing assistance", "May qualify for housing benefit or social housing support.", "Kingsmere Housing Authority"),
+)
+ORACLES["service_advice"] = f"""{WITH_PEERS} SELECT master_citizen_id, gap_rank, agency, coalesce(title, agency) AS service_title,
+  coalesce(txt, '') AS service_text, office AS service_office FROM people JOIN placed ON placed.mask = people.mask
+  LEFT JOIN (VALUES {', '.join(str(r) for r in SERVICE_ROWS)}) AS s(a, title, txt, office) ON s.a = agency"""
+
+# ---- evidence graph ----------------------------------------------------------------
+
+INNER = f"""{RATED},
+inner_edges AS MATERIALIZED (SELECT x.master_citizen_id, e.source_record_id_l AS a, e.source_record_id_r AS b, round(e.p,6) AS p, round(e.p,6) >= 0.75 AS strong,
+  {NAMES} FROM edges e JOIN clusters x ON x.source_record_id = e.source_record_id_l JOIN clusters y ON y.source_record_id = e.source_record_id_r
+  WHERE x.master_citizen_id = y.master_citizen_id),
+ends AS (SELECT a AS node FROM inner_edges WHERE strong UNION ALL SELECT b FROM inner_edges WHERE strong),
+degrees AS (SELECT node, count(*) AS degree FROM ends GROUP BY 1)"""
+ORACLES["graph_nodes"] = f"""WITH RECURSIVE {INNER} SELECT master_citizen_id, source_record_id, agency, record_type, record_date,
+  first_name || ' ' || last_name AS name, date_of_birth, coalesce(degree, 0) AS degree
+  FROM clusters JOIN rec USING (source_record_id) LEFT JOIN degrees ON node = source_record_id"""
+# An edge is a bridge when its right end cannot be reached from its left end without
+# it; only edges without a common neighbour need the walk.
+BRIDGED = f"""{INNER},
+two_way AS MATERIALIZED (SELECT a, b FROM inner_edges WHERE strong UNION ALL SELECT b, a FROM inner_edges WHERE strong),
+in_triangle AS (SELECT DISTINCT e.a, e.b FROM inner_edges e JOIN two_way x ON x.a = e.a JOIN two_way y ON y.a = x.b AND y.b = e.b WHERE e.strong),
+suspects AS MATERIALIZED (SELECT master_citizen_id, a, b, p FROM inner_edges WHERE strong AND (a, b) NOT IN (SELECT (a, b) FROM in_triangle)),
+roam AS (SELECT a, b, a AS seen FROM suspects UNION SELECT r.a, r.b, t.b FROM roam r JOIN two_way t ON t.a = r.seen
+  WHERE NOT (t.a = r.a AND t.b = r.b) AND NOT (t.a = r.b AND t.b = r.a)),
+bridged AS MATERIALIZED (SELECT * FROM suspects s WHERE NOT EXISTS (SELECT 1 FROM roam r WHERE r.a = s.a AND r.b = s.b AND r.seen = s.b))"""
+ORACLES["bridges"] = f"""WITH RECURSIVE {BRIDGED} SELECT master_citizen_id, a AS source_record_id_l, b AS source_record_id_r, p AS match_probability,
+  CAST(1 AS BIGINT) AS bridges FROM bridged"""
+ORACLES["graph_summary"] = f"""WITH RECURSIVE {BRIDGED},
+n AS (SELECT master_citizen_id, count(*) AS node_count FROM clusters GROUP BY 1),
+e AS (SELECT master_citizen_id, count(*) AS edge_count, count(*) FILTER (WHERE strong) AS load, min(p) FILTER (WHERE strong) AS low FROM inner_edges GROUP BY 1),
+w AS (SELECT master_citizen_id, count(*) AS bridge_count, arg_min(a, (p, a, b)) AS wa, arg_min(b, (p, a, b)) AS wb, min(p) AS wp FROM bridged GROUP BY 1)
+SELECT master_citizen_id, node_count, coalesce(edge_count, 0) AS edge_count, coalesce(load, 0) AS load_bearing_edge_count,
+  coalesce(bridge_count, 0) AS bridge_count,
+  CASE WHEN node_count > 1 THEN round(2 * coalesce(load, 0) / (node_count * (node_count - 1)), 4) ELSE 0.0 END AS density,
+  CAST(0.75 AS DOUBLE) AS cluster_threshold, coalesce(low, 1.0) AS min_edge_probability,
+  wa AS weakest_bridge_source, wb AS weakest_bridge_target, wp AS weakest_bridge_probability
+FROM n LEFT JOIN e USING (master_citizen_id) LEFT JOIN w USING (master_citizen_id)"""
+
+# ---- anomalies ---------------------------------------------------------------------
+
+FEATURE_NAMES = (
+    "record_count", "agency_count", "records_per_agency", "distinct_first_names", "distinct_dobs", "distinct_postcodes",
+    "hospital_visits", "benefits_count", "prescriptions_count", "education_count",
+)
+
+
+def listed_size(column: str) -> str:
+    return f"CASE WHEN {column} = '' THEN 0 ELSE len(string_split({column},'|')) END"
+
+
+FEATURED = f"""{COARSE}, {PROFILES},
+featured AS MATERIALIZED (SELECT p.master_citizen_id, record_count, agency_count, record_count/agency_count AS records_per_agency,
+  distinct_first_names, distinct_dobs, distinct_postcodes, hospital_visits, {listed_size('benefits_received')} AS benefits_count,
+  {listed_size('current_prescriptions')} AS prescriptions_count, {listed_size('education_history')} AS education_count
+  FROM profiles p JOIN (SELECT master_citizen_id, count(DISTINCT lower(first_name)) AS distinct_first_names,
+    count(DISTINCT date_of_birth) AS distinct_dobs, count(DISTINCT lower(replace(postcode,' ',''))) AS distinct_postcodes
+    FROM linked GROUP BY 1) s USING (master_citizen_id))"""
+ORACLES["features"] = f"""WITH {FEATURED} SELECT * REPLACE (round(records_per_agency,6) AS records_per_agency) FROM featured"""
+Z = f"""{FEATURED},
+med AS (SELECT {', '.join(f'median({f}) AS {f}' for f in FEATURE_NAMES)} FROM featured),
+mad AS (SELECT {', '.join(f'greatest(median(abs(x.{f} - med.{f})) * 1.4826, 1e-9) AS {f}' for f in FEATURE_NAMES)} FROM featured x, med),
+zed AS MATERIALIZED (SELECT x.master_citizen_id, greatest({', '.join(f'abs(x.{f} - med.{f})/mad.{f}' for f in FEATURE_NAMES)}) AS score FROM featured x, med, mad)"""
+ORACLES["robust_z"] = f"WITH {Z} SELECT master_citizen_id, round(score,6) AS score FROM zed"
+ERRORS = """split AS (SELECT person_index FROM linked GROUP BY 1 HAVING count(DISTINCT master_citizen_id) > 1),
+errors AS (SELECT master_citizen_id, count(DISTINCT person_index) > 1 OR bool_or(person_index IN (SELECT person_index FROM split)) AS is_error FROM linked GROUP BY 1)"""
+ORACLES["error_labels"] = f"WITH {COARSE}, {ERRORS} SELECT * FROM errors"
+
+
+def ranking(scored: str, share: str) -> str:
+    return f"""scored AS ({scored}),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY detector ORDER BY score DESC, id) AS rank FROM scored),
+hit AS (SELECT *, row_number() OVER (PARTITION BY detector ORDER BY rank) AS h FROM ranked WHERE label),
+ap AS (SELECT detector, avg(h/rank) AS ap FROM hit GROUP BY 1),
+tot AS (SELECT detector, count(*) AS n, count(*) FILTER (WHERE label) AS pos, greatest(CAST(round_even({share} * count(*), 0) AS BIGINT), 1) AS k FROM ranked GROUP BY 1),
+top AS (SELECT detector, count(*) FILTER (WHERE label) AS found, count(*) AS taken FROM ranked JOIN tot USING (detector) WHERE rank <= k GROUP BY 1),
+ranking AS (SELECT detector, n AS rows, pos AS positives, k, round(pos/n,6) AS base_rate, round(coalesce(ap,0.0),6) AS average_precision,
+  round(found/taken,6) AS precision_at_k, round(coalesce(found/nullif(pos,0),0.0),6) AS recall_at_k,
+  round(coalesce(coalesce(ap,0.0)/nullif(pos/n,0.0),0.0),2) AS lift_over_random FROM tot JOIN top USING (detector) LEFT JOIN ap USING (detector))"""
+
+
+ORACLES["detector_metrics"] = f"""WITH {Z}, {ERRORS},
+{ranking("SELECT 'max_robust_zscore' AS detector, master_citizen_id AS id, score, coalesce(is_error, FALSE) AS label FROM zed LEFT JOIN errors USING (master_citizen_id)", '0.05')}
+SELECT *, TRUE AS is_best FROM ranking"""
+ORACLES["label_ranking"] = f"""WITH {ranking("SELECT 'n_chars' AS detector, doc_id AS id, CAST(n_chars AS DOUBLE) AS score, quality = 1 AS label FROM labels JOIN documents USING (doc_id)", '0.05')}
+SELECT * FROM ranking"""
+_CLASH = "SELECT DISTINCT master_citizen_id, '{f}' AS field, {e} AS value FROM linked WHERE {e} <> ''"
+ORACLES["identity_conflicts"] = f"""WITH {COARSE}, vals AS ({_CLASH.format(f='date_of_birth', e='date_of_birth')}
+  UNION ALL {_CLASH.format(f='postcode', e="upper(replace(postcode,' ',''))")})
+SELECT *, count(*) OVER (PARTITION BY master_citizen_id, field) AS value_count,
+  CASE field WHEN 'postcode' THEN 'postcode' ELSE 'date of birth' END AS label FROM vals
+QUALIFY count(*) OVER (PARTITION BY master_citizen_id, field) > 1"""

@@ -8,10 +8,26 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kinloom.functions import expr
-from kinloom.operators import blocking, compare, dossier, evaluate, link, population, profile, score, train
+from kinloom.operators import (
+    anomaly,
+    blocking,
+    compare,
+    coverage,
+    dossier,
+    evaluate,
+    graph,
+    link,
+    lof,
+    population,
+    profile,
+    score,
+    train,
+)
+from kinloom.operators.ranking import ranking_metrics
 from kinloom.operators.train import TRAINING_RULES
 from kinloom.plans import inputs
 from kinloom.schemas import COMPARED, MASTER_ID, RECORD_ID
+from kinloom.session import materialize
 from kinloom.sources import export
 from kinloom.sources.tables import read_table
 
@@ -424,3 +440,190 @@ def report_table(spark, sf):
 def report_agreement(spark, sf):
     rows = inputs.linked(spark, sf)
     return export.report_agreement(dossier.field_agreement(rows), dossier.agreement_lists(rows))
+
+
+# ---- coverage --------------------------------------------------------------------
+
+
+@query
+def peer_groups(spark, sf):
+    return coverage.peer_groups(inputs.profiles(spark, sf)).select(
+        F.array_join(coverage._names(F.col("mask")), "|").alias("footprint"),
+        F.array_join(coverage._names(F.col("used")), "|").alias("peer_group_definition"),
+        "peer_group_size",
+    )
+
+
+@query
+def peer_prevalence(spark, sf):
+    return coverage.recommendation_rows(coverage.recommendations(inputs.profiles(spark, sf)))
+
+
+@query
+def peer_backoff(spark, sf):
+    rows = coverage.recommendations(inputs.profiles(spark, sf))
+    return flat(rows.drop("recommendations"))
+
+
+@query
+def service_advice(spark, sf):
+    rows = coverage.recommendation_rows(coverage.recommendations(inputs.profiles(spark, sf)))
+    return coverage.with_service_advice(rows.select(MASTER_ID, "gap_rank", "agency"))
+
+
+# ---- evidence graph --------------------------------------------------------------
+
+
+def _graph(spark, sf):
+    def build():
+        lk = inputs.linkage(spark, sf)
+        inside = graph.inner_edges(lk.clusters, graph.compact_edges(lk.edges, lk.copies, lk.members))
+        return materialize(graph.graph_edges(inside, graph.bridges(inside)), "graph")
+
+    return inputs.linkage(spark, sf), inputs.stage(spark, sf, "graph", build)
+
+
+@query
+def cluster_graph(spark, sf):
+    """Inner edges with evidence, the evidence shown as text."""
+    _, edges = _graph(spark, sf)
+    shown = graph.edge_evidence(edges, inputs.records(spark, sf))
+    text = F.transform("evidence", lambda e: F.concat(e["field"], F.lit("="), e["agreement"]))
+    values = F.transform(
+        "evidence", lambda e: F.concat(F.coalesce(e["left_value"], F.lit("-")), F.lit("~"), F.coalesce(e["right_value"], F.lit("-")))
+    )
+    return shown.select(
+        MASTER_ID, "source_record_id_l", "source_record_id_r", "match_probability", "pairs", "is_load_bearing",
+        F.array_join(text, "|").alias("evidence"),
+        F.array_join(values, "|").alias("side_values"),
+        F.array_join("agreeing_fields", "|").alias("agreeing_fields"),
+    )
+
+
+@query
+def graph_nodes(spark, sf):
+    lk, edges = _graph(spark, sf)
+    return graph.graph_nodes(lk.clusters, inputs.records(spark, sf), edges, lk.members)
+
+
+@query
+def bridges(spark, sf):
+    """Record-level bridges per cluster."""
+    _, edges = _graph(spark, sf)
+    return edges.filter("is_bridge").select(
+        MASTER_ID, "source_record_id_l", "source_record_id_r", "match_probability", "bridges"
+    )
+
+
+@query
+def graph_summary(spark, sf):
+    lk, edges = _graph(spark, sf)
+    return graph.graph_summary(lk.clusters, edges)
+
+
+# ---- anomalies -------------------------------------------------------------------
+
+
+def _features(spark, sf):
+    def build():
+        linked = inputs.surname_linked(spark, sf)
+        return materialize(anomaly.features(linked, profile.build_profiles(linked)), "features")
+
+    return inputs.stage(spark, sf, "features", build)
+
+
+def _forest(spark, sf):
+    return inputs.stage(spark, sf, "forest", lambda: materialize(anomaly.forest_scores(_features(spark, sf)), "forest"))
+
+
+@query
+def features(spark, sf):
+    linked = inputs.surname_linked(spark, sf)
+    return flat(anomaly.features(linked, profile.build_profiles(linked)))
+
+
+@query
+def robust_z(spark, sf):
+    return flat(anomaly.robust_z(_features(spark, sf)))
+
+
+@query
+def error_labels(spark, sf):
+    return anomaly.error_labels(inputs.surname_linked(spark, sf))
+
+
+@query
+def detector_metrics(spark, sf):
+    scores = anomaly.robust_z(_features(spark, sf)).withColumn("detector", F.lit("max_robust_zscore"))
+    return anomaly.detector_metrics(scores, anomaly.error_labels(inputs.surname_linked(spark, sf)))
+
+
+@query
+def detector_comparison(spark, sf):
+    linked = inputs.surname_linked(spark, sf)
+    return anomaly.compare_detectors(linked, profile.build_profiles(linked))
+
+
+@query
+def identity_conflicts(spark, sf):
+    return anomaly.identity_conflicts(inputs.surname_linked(spark, sf))
+
+
+@query
+def forest_scores(spark, sf):
+    return flat(_forest(spark, sf).drop("top_factors", "raw"))
+
+
+@query
+def forest_factors(spark, sf):
+    return flat(anomaly.factor_rows(_forest(spark, sf)))
+
+
+@query
+def anomaly_totals(spark, sf):
+    return anomaly.anomaly_totals(_forest(spark, sf))
+
+
+@query
+def score_histogram(spark, sf):
+    return anomaly.score_histogram(_forest(spark, sf))
+
+
+@query
+def anomaly_queue(spark, sf):
+    linked = inputs.surname_linked(spark, sf)
+    queue = anomaly.anomaly_queue(_forest(spark, sf), profile.build_profiles(linked), linked)
+    return queue.withColumns(
+        {
+            "top_factors": F.array_join(F.transform("top_factors", lambda f: f["feature"]), "|"),
+            "conflicts": F.array_join(F.transform("conflicts", lambda c: c["field"]), "|"),
+        }
+    )
+
+
+@query
+def lof_scores(spark, sf):
+    return flat(anomaly.lof_scores(_features(spark, sf)))
+
+
+@query
+def embedding_outliers(spark, sf):
+    """The density detector on dense vectors: equal vectors share one point."""
+    rows = read_table(spark, sf, "embeddings").select(
+        F.col("vec_id").cast("string").alias("id"), F.transform("embedding", lambda x: x.cast("double")).alias("vector")
+    )
+    points = rows.groupBy("vector").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("weight"))
+    return lof.local_outlier_factors(points, 20).withColumn("lof", F.round("lof", 6))
+
+
+@query
+def label_ranking(spark, sf):
+    """Ranking quality of text length as a score for the labelled quality."""
+    docs = read_table(spark, sf, "documents").select("doc_id", "n_chars")
+    scored = read_table(spark, sf, "labels").join(docs, "doc_id").select(
+        F.lit("n_chars").alias("detector"),
+        F.lpad(F.col("doc_id").cast("string"), 20, "0").alias("id"),
+        F.col("n_chars").cast("double").alias("score"),
+        (F.col("quality") == 1).alias("label"),
+    )
+    return ranking_metrics(scored, 0.05)
