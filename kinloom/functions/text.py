@@ -98,8 +98,29 @@ def jaro_winkler(left: list[str], right: list[str]) -> np.ndarray:
     return np.concatenate(parts) if parts else np.zeros(0)
 
 
-def _batch_similarity(left: pa.Array, right: pa.Array) -> pa.Array:
-    """Similarity per row of a batch, computed once per distinct pair of values."""
+def _letter_counts(codes: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """How often each letter (code modulo 32) occurs per word."""
+    rows = np.repeat(np.arange(len(codes)), sizes)
+    letters = codes[np.arange(codes.shape[1])[None, :] < sizes[:, None]].astype(np.int64) % 32
+    return np.bincount(rows * 32 + letters, minlength=len(codes) * 32).reshape(len(codes), 32).astype(np.uint8)
+
+
+def _can_reach(words_l: np.ndarray, words_r: np.ndarray, il: np.ndarray, ir: np.ndarray, floor: float) -> np.ndarray:
+    """Which pairs could score `floor`: matches never exceed the shared letters."""
+    a, la = _codes(words_l)
+    b, lb = _codes(words_r)
+    shared = np.minimum(_letter_counts(a, la)[il], _letter_counts(b, lb)[ir]).sum(axis=1, dtype=np.int64)
+    jaro = (shared / np.maximum(la[il], 1) + shared / np.maximum(lb[ir], 1) + 1.0) / 3.0
+    four = min(4, a.shape[1], b.shape[1])
+    prefix = np.cumprod(a[il, :four] == b[ir, :four], axis=1).sum(axis=1)
+    return jaro + prefix * 0.1 * np.maximum(1.0 - jaro, 0.0) >= floor - 1e-9
+
+
+def _batch_similarity(left: pa.Array, right: pa.Array, floor: float) -> pa.Array:
+    """Similarity per row of a batch, computed once per distinct pair of values.
+
+    Pairs that cannot reach `floor` come back as 0 without being compared.
+    """
     valid = np.asarray(left.is_valid()) & np.asarray(right.is_valid())
     out = np.zeros(len(valid))
     if valid.any():
@@ -107,28 +128,35 @@ def _batch_similarity(left: pa.Array, right: pa.Array) -> pa.Array:
         il = np.asarray(dl.indices.fill_null(0))[valid].astype(np.int64)
         ir = np.asarray(dr.indices.fill_null(0))[valid].astype(np.int64)
         pairs, place = np.unique(il * len(dr.dictionary) + ir, return_inverse=True)
-        words_l = np.array(dl.dictionary.to_pylist(), dtype=np.str_)[pairs // len(dr.dictionary)]
-        words_r = np.array(dr.dictionary.to_pylist(), dtype=np.str_)[pairs % len(dr.dictionary)]
-        out[valid] = jaro_winkler(words_l, words_r)[place]
+        il, ir = pairs // len(dr.dictionary), pairs % len(dr.dictionary)
+        words_l = np.array(dl.dictionary.to_pylist(), dtype=np.str_)
+        words_r = np.array(dr.dictionary.to_pylist(), dtype=np.str_)
+        scores = np.zeros(len(pairs))
+        near = np.flatnonzero(_can_reach(words_l, words_r, il, ir, floor))
+        scores[near] = jaro_winkler(words_l[il[near]], words_r[ir[near]])
+        out[valid] = scores[place]
     return pa.array(out, mask=~valid)
 
 
-def similarities(pairs: dict[str, tuple[Column, Column]]) -> Column:
+def similarities(pairs: dict[str, tuple[Column, Column, float]]) -> Column:
     """One struct column with the Jaro-Winkler similarity of each named pair.
 
+    Each pair names the lowest value anybody asks about; below it, 0 stands for all.
+
     All pairs go through a single Arrow exchange. A pair whose values are equal or
     missing is sent as NULL, so it costs nothing and comes back as NULL.
     """
     names = list(pairs)
+    floors = [floor for _, _, floor in pairs.values()]
     schema = ", ".join(f"{n} double" for n in names)
 
     @F.arrow_udf(f"struct<{schema}>")
     def compare(*columns: pa.Array) -> pa.Array:
-        found = [_batch_similarity(columns[i], columns[i + 1]) for i in range(0, len(columns), 2)]
+        found = [_batch_similarity(columns[2 * i], columns[2 * i + 1], floor) for i, floor in enumerate(floors)]
         return pa.StructArray.from_arrays(found, names)
 
     arguments = []
-    for left, right in pairs.values():
+    for left, right, _ in pairs.values():
         differ = left != right
         arguments += [F.when(differ, F.least(left, right)), F.when(differ, F.greatest(left, right))]
     return compare(*arguments)

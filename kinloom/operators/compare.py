@@ -20,6 +20,10 @@ TOP_LEVEL = {
 }
 
 
+# The lowest similarity any ladder asks about.
+NAME_FLOOR, EMAIL_FLOOR = 0.70, 0.88
+
+
 def _ladder(left: Column, right: Column, *steps: tuple[int, Column]) -> Column:
     level = F.when(left.isNull() | right.isNull(), -1)
     for value, condition in steps:
@@ -84,11 +88,11 @@ def _edits(left: Column, right: Column, distance: Column, limits: tuple[int, ...
 def gammas(pairs: DataFrame, fields: tuple[str, ...] = COMPARED) -> DataFrame:
     """Add `gamma_<field>` for the fields of the structs `l` and `r`."""
     left, right = F.col("l"), F.col("r")
-    fuzzy = {f: (left[f], right[f]) for f in ("first_name", "last_name", "email") if f in fields}
+    fuzzy = {f: (left[f], right[f], NAME_FLOOR) for f in ("first_name", "last_name") if f in fields}
     if "email" in fields:
         other_user = left["user"] != right["user"]
-        fuzzy["email"] = (F.when(other_user, left["email"]), F.when(other_user, right["email"]))
-        fuzzy["user"] = (left["user"], right["user"])
+        fuzzy["email"] = (F.when(other_user, left["email"]), F.when(other_user, right["email"]), EMAIL_FLOOR)
+        fuzzy["user"] = (left["user"], right["user"], EMAIL_FLOOR)
     out = pairs.withColumn("sim", similarities(fuzzy)) if fuzzy else pairs
     # Distances get columns of their own, so that a ladder's steps share one result.
     out = out.withColumns(

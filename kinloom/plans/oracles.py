@@ -668,3 +668,35 @@ ORACLES["identity_conflicts"] = f"""WITH {COARSE}, vals AS ({_CLASH.format(f='da
 SELECT *, count(*) OVER (PARTITION BY master_citizen_id, field) AS value_count,
   CASE field WHEN 'postcode' THEN 'postcode' ELSE 'date of birth' END AS label FROM vals
 QUALIFY count(*) OVER (PARTITION BY master_citizen_id, field) > 1"""
+
+# ---- generated population ----------------------------------------------------------
+
+_NONE_WRONG = (
+    "without_record", "too_many_agencies", "wrong_visits", "wrong_prescriptions", "repeated_ids", "wrong_expiry",
+    "wrong_amount", "wrong_marital", "wrong_detail", "future_records", "thin_attributes", "wrong_endorsements",
+)
+ORACLES["generated_invariants"] = (
+    f"SELECT count(*) AS people, {', '.join(f'CAST(0 AS BIGINT) AS {c}' for c in _NONE_WRONG)} FROM customer"
+)
+ORACLES["pristine_capture"] = (
+    f"SELECT count(*) AS people, {', '.join(f'CAST(0 AS BIGINT) AS differs_{c}' for c in (*FIELDS, 'city'))} FROM customer"
+)
+ORACLES["noise_rises"] = "SELECT CAST(5 AS INTEGER) AS levels, count(*) > 0 AS missing_rises, count(*) > 0 AS variants_rise FROM customer"
+
+# Each record pair's evidence, for the compact edges expanded by their members.
+_SAYS = lambda f: f"'{f}=' || CASE gamma_{f} WHEN -1 THEN 'not comparable' WHEN 0 THEN 'disagreed' ELSE 'agreed' END"
+_SIDES = lambda f: f"coalesce(x.{f},'-') || '~' || coalesce(y.{f},'-')"
+_AGREES = lambda f: f"CASE WHEN gamma_{f} > 0 THEN '{f}' END"
+ORACLES["cluster_graph"] = f"""WITH RECURSIVE {INNER},
+reps AS MATERIALIZED (SELECT source_record_id, min(source_record_id) OVER (PARTITION BY {', '.join(FIELDS)}) AS rep,
+  max(source_record_id) OVER (PARTITION BY {', '.join(FIELDS)}) AS last FROM rec),
+compact AS (SELECT i.master_citizen_id, p.rep AS rl, q.rep AS rr, min(p.last) AS last, count(*) AS pairs, min(i.p) AS p, bool_and(strong) AS strong,
+  {', '.join(f'min(gamma_{f}) AS gamma_{f}' for f in FIELDS)} FROM inner_edges i JOIN reps p ON p.source_record_id = a JOIN reps q ON q.source_record_id = b
+  GROUP BY i.master_citizen_id, least(p.rep, q.rep), greatest(p.rep, q.rep), p.rep, q.rep),
+merged AS (SELECT master_citizen_id, least(rl, rr) AS a, CASE WHEN rl = rr THEN min(last) ELSE greatest(rl, rr) END AS b,
+  CAST(sum(pairs) AS BIGINT) AS pairs, min(p) AS p, bool_and(strong) AS strong, {', '.join(f'min(gamma_{f}) AS gamma_{f}' for f in FIELDS)}
+  FROM compact GROUP BY master_citizen_id, least(rl, rr), greatest(rl, rr), rl = rr)
+SELECT master_citizen_id, a AS source_record_id_l, b AS source_record_id_r, p AS match_probability, pairs, strong AS is_load_bearing,
+  concat_ws('|', {', '.join(_SAYS(f) for f in FIELDS)}) AS evidence, concat_ws('|', {', '.join(_SIDES(f) for f in FIELDS)}) AS side_values,
+  concat_ws('|', {', '.join(_AGREES(f) for f in FIELDS)}) AS agreeing_fields
+FROM merged JOIN rec x ON x.source_record_id = a JOIN rec y ON y.source_record_id = b"""

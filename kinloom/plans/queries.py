@@ -25,10 +25,10 @@ from kinloom.operators import (
 )
 from kinloom.operators.ranking import ranking_metrics
 from kinloom.operators.train import TRAINING_RULES
-from kinloom.plans import inputs
-from kinloom.schemas import COMPARED, MASTER_ID, RECORD_ID
+from kinloom.plans import inputs, noise
+from kinloom.schemas import COMPARED, MASTER_ID, RECORD_ID, TRUTH
 from kinloom.session import materialize
-from kinloom.sources import export
+from kinloom.sources import export, synth
 from kinloom.sources.tables import read_table
 
 AS_OF = "2025-06-01"
@@ -627,3 +627,100 @@ def label_ranking(spark, sf):
         (F.col("quality") == 1).alias("label"),
     )
     return ranking_metrics(scored, 0.05)
+
+
+# ---- generated population --------------------------------------------------------
+
+
+def _people(spark, sf):
+    """Person ids for the generator: the customers of the table."""
+    return read_table(spark, sf, "customer").select(F.col("c_custkey").alias(TRUTH))
+
+
+def _generated(spark, sf, level="default"):
+    def build():
+        persons, records = synth.generate(_people(spark, sf), noise=synth.noise_level(level))
+        return persons, materialize(records, "generated")
+
+    return inputs.stage(spark, sf, f"generated-{level}", build)
+
+
+@query
+def generated_citizens(spark, sf):
+    return _generated(spark, sf)[0]
+
+
+@query
+def generated_records(spark, sf):
+    records = _generated(spark, sf)[1]
+    return records.withColumn("attributes", expr.attributes_text(F.col("attributes")))
+
+
+@query
+def generated_invariants(spark, sf):
+    """What must hold of any generated population, counted as violations."""
+    persons, records = _generated(spark, sf)
+    per_person = records.groupBy(TRUTH).agg(
+        F.count_distinct("agency").alias("agencies"),
+        F.count_if(F.col("record_type") == "HOSPITAL_VISIT").alias("visits"),
+        F.count_if(F.col("record_type") == "PRESCRIPTION").alias("prescriptions"),
+        F.count_if(F.col("agency") == "Healthcare").alias("health"),
+        F.count(F.lit(1)).alias("n"),
+    )
+    covered = persons.join(per_person, TRUTH, "left")
+    wrong_person = covered.agg(
+        F.count(F.lit(1)).alias("people"),
+        F.count_if(F.coalesce("n", F.lit(0)) == 0).alias("without_record"),
+        F.count_if(F.col("agencies") > 6).alias("too_many_agencies"),
+        F.count_if((F.col("health") > 0) & ~F.col("visits").between(1, 3)).alias("wrong_visits"),
+        F.count_if(F.col("prescriptions") > 2).alias("wrong_prescriptions"),
+    )
+    kind = F.col("record_type")
+    wrong_record = records.agg(
+        (F.count(F.lit(1)) - F.count_distinct(RECORD_ID)).alias("repeated_ids"),
+        F.count_if(F.col("expiry_date").isNotNull() != kind.isin("DRIVING_LICENCE", "PASSPORT")).alias("wrong_expiry"),
+        F.count_if(F.col("amount").isNotNull() != kind.isin("TAX_RECORD", "BENEFITS_RECORD", "EMPLOYMENT_REGISTRATION", "HOUSING_BENEFIT")).alias("wrong_amount"),
+        F.count_if(F.col("marital_status").isNotNull() != kind.isin("TAX_RECORD", "BENEFITS_RECORD")).alias("wrong_marital"),
+        F.count_if(F.col("detail").isNull() != kind.isin("TAX_RECORD", "HEALTHCARE_REGISTRATION", "PASSPORT")).alias("wrong_detail"),
+        F.count_if(F.col("record_date") > "2025-06-01").alias("future_records"),
+        F.count_if(F.size("attributes") < 3).alias("thin_attributes"),
+        F.count_if((kind == "DRIVING_LICENCE") & ((F.col("attributes")["points"] == "0") != (F.col("attributes")["endorsements"] == "None"))).alias("wrong_endorsements"),
+    )
+    return wrong_person.withColumn("_one", F.lit(1)).join(wrong_record.withColumn("_one", F.lit(1)), "_one").drop("_one")
+
+
+@query
+def pristine_capture(spark, sf):
+    """Without noise every record repeats its person exactly: mismatches per field."""
+    persons, records = _generated(spark, sf, "pristine")
+    fields = [*COMPARED, "city"]
+    true = persons.select(TRUTH, *[F.col(c).alias(f"p_{c}") for c in fields])
+    joined = records.join(true, TRUTH)
+    return joined.agg(
+        F.count_distinct(TRUTH).alias("people"),
+        *[F.count_if(~F.col(c).eqNullSafe(F.col(f"p_{c}"))).alias(f"differs_{c}") for c in fields],
+    )
+
+
+@query
+def noise_rises(spark, sf):
+    """Missing values and name variants must grow with every noise level."""
+    rows = None
+    for i, level in enumerate(("pristine", "light", "default", "heavy", "severe")):
+        records = _generated(spark, sf, level)[1]
+        names = records.groupBy(TRUTH).agg(F.count_distinct("first_name").alias("variants"))
+        measured = records.agg(
+            F.avg(F.expr("int(email is null) + int(phone is null) + int(address is null)")).alias("missing")
+        ).withColumn("_one", F.lit(1)).join(names.agg(F.avg("variants").alias("variants")).withColumn("_one", F.lit(1)), "_one")
+        row = measured.select(F.struct(F.lit(i).alias("level"), "missing", "variants").alias("m"))
+        rows = row if rows is None else rows.unionByName(row)
+    steps = F.array_sort(F.collect_list("m"))
+    rising = lambda c: F.forall(F.sequence(F.lit(1), F.lit(4)), lambda i: F.get("s", i)[c] > F.get("s", i - 1)[c])
+    return rows.agg(steps.alias("s")).select(
+        F.size("s").alias("levels"), rising("missing").alias("missing_rises"), rising("variants").alias("variants_rise")
+    )
+
+
+@query
+def noise_benchmark(spark, sf):
+    return noise.noise_benchmark(_people(spark, sf))
