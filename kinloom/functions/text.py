@@ -159,4 +159,6 @@ def similarities(pairs: dict[str, tuple[Column, Column, float]]) -> Column:
     for left, right, _ in pairs.values():
         differ = left != right
         arguments += [F.when(differ, F.least(left, right)), F.when(differ, F.greatest(left, right))]
-    return compare(*arguments)
+    # Declared non-deterministic only to be evaluated once: the optimizer would copy a
+    # deterministic call into every filter that depends on it.
+    return compare.asNondeterministic()(*arguments)

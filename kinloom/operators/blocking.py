@@ -177,9 +177,9 @@ def candidate_pairs(vectors: DataFrame, rules: tuple[Rule, ...] = BLOCKING_RULES
         "hot",
     )
     n_hot = hot.count()
-    on = ["block"]
+    on = ["rule", "block"]  # on both sides, so that one exchange serves both
     left = keyed.select("rule", "block", F.col("side").alias("l"))
-    right = keyed.select("block", F.col("side").alias("r"))
+    right = keyed.select("rule", "block", F.col("side").alias("r"))
     if n_hot:
         # Few hot keys travel to every task; many are joined like any table.
         hot = F.broadcast(hot) if n_hot <= BROADCAST_ROWS else hot
@@ -193,10 +193,10 @@ def candidate_pairs(vectors: DataFrame, rules: tuple[Rule, ...] = BLOCKING_RULES
             F.explode(F.sequence("tile", F.col("tiles") - 1)).alias("tj"),
         )
         right = tiled.select(
-            "block", F.col("side").alias("r"), F.explode(F.sequence(F.lit(0), "tile")).alias("ti"),
+            "rule", "block", F.col("side").alias("r"), F.explode(F.sequence(F.lit(0), "tile")).alias("ti"),
             F.col("tile").alias("tj"),
         )
-        on = ["block", "ti", "tj"]
+        on = ["rule", "block", "ti", "tj"]
     # A fixed number of partitions: pairs multiply after the join, so AQE must not
     # merge these because their inputs look small.
     n = shuffle_partitions(vectors.sparkSession)

@@ -79,10 +79,14 @@ def _distance(left: Column, right: Column, limit: int) -> Column:
 
 
 def _edits(left: Column, right: Column, distance: Column, limits: tuple[int, ...]) -> Column:
-    """Exact on top, then one level per edit limit."""
-    steps = [(len(limits) + 1, left == right)]
-    steps += [(len(limits) - i, distance.between(0, d)) for i, d in enumerate(limits)]
-    return _ladder(left, right, *steps)
+    """Exact on top, then one level per edit limit.
+
+    The level is looked up by distance, so the expression holds the distance once
+    and stays cheap where the optimizer copies it, for instance into a filter.
+    """
+    by_distance = [0] + [sum(d <= limit for limit in limits) for d in range(max(limits) + 1)]
+    level = F.when(left.isNull() | right.isNull(), -1).when(left == right, len(limits) + 1)
+    return level.otherwise(F.get(F.array(*[F.lit(v) for v in by_distance]), distance + 1)).cast("int")
 
 
 def gammas(pairs: DataFrame, fields: tuple[str, ...] = COMPARED) -> DataFrame:
@@ -94,26 +98,23 @@ def gammas(pairs: DataFrame, fields: tuple[str, ...] = COMPARED) -> DataFrame:
         fuzzy["email"] = (F.when(other_user, left["email"]), F.when(other_user, right["email"]), EMAIL_FLOOR)
         fuzzy["user"] = (left["user"], right["user"], EMAIL_FLOOR)
     out = pairs.withColumn("sim", similarities(fuzzy)) if fuzzy else pairs
-    # Distances get columns of their own, so that a ladder's steps share one result.
-    out = out.withColumns(
-        {f"d_{f}": _distance(left[f], right[f], max(d)) for f, d in EDIT_LIMITS.items() if f in fields}
-    )
+    distance = {f: _distance(left[f], right[f], max(d)) for f, d in EDIT_LIMITS.items()}
     levels: dict[str, Column] = {}
     for f in fields:
         a, b, s = left[f], right[f], F.col(f"sim.{f}")
         if f in ("first_name", "last_name"):
             levels[f] = _name(a, b, s)
         elif f == "date_of_birth":
-            levels[f] = _birth_date(left, right, F.col("d_date_of_birth"))
+            levels[f] = _birth_date(left, right, distance[f])
         elif f == "email":
             same_user = left["user"] == right["user"]
             levels[f] = _ladder(a, b, (4, a == b), (3, same_user), (2, s >= 0.88), (1, F.col("sim.user") >= 0.88))
         elif f in EDIT_LIMITS:
-            levels[f] = _edits(a, b, F.col(f"d_{f}"), EDIT_LIMITS[f])
+            levels[f] = _edits(a, b, distance[f], EDIT_LIMITS[f])
         else:
             steps = [(3, "code"), (2, "outward"), (1, "area")]
             levels[f] = _ladder(a, b, *[(v, left[part] == right[part]) for v, part in steps])
-    return out.withColumns({f"gamma_{f}": g for f, g in levels.items()}).drop("sim", *[f"d_{f}" for f in EDIT_LIMITS])
+    return out.withColumns({f"gamma_{f}": g for f, g in levels.items()}).drop("sim")
 
 
 def own_gammas(vectors: DataFrame) -> DataFrame:

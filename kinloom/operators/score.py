@@ -11,6 +11,7 @@ from kinloom.operators.blocking import BLOCKING_RULES, Rule, candidate_pairs
 from kinloom.operators.compare import TOP_LEVEL, gammas, own_gammas
 from kinloom.operators.train import MatchModel
 from kinloom.schemas import COMPARED
+from kinloom.session import materialize
 
 # Score below which a pair is dropped; fields weighted by frequency.
 KEEP_THRESHOLD = 0.05
@@ -39,7 +40,9 @@ def term_frequencies(vectors: DataFrame, field: str) -> DataFrame:
 
 
 def with_frequencies(vectors: DataFrame) -> DataFrame:
-    """Attach `tf_<field>` to the captures, so that pairs carry it already."""
+    """Attach `tf_<field>` to the captures, once, so that pairs carry it already."""
+    if f"tf_{FREQUENCY_FIELDS[0]}" in vectors.columns:
+        return vectors
     out = vectors
     for field in FREQUENCY_FIELDS:
         table = term_frequencies(vectors, field).select(
@@ -50,7 +53,7 @@ def with_frequencies(vectors: DataFrame) -> DataFrame:
             .join(table, F.col("_v") == F.col(f"_v_{field}"), "left")
             .drop("_v", f"_v_{field}")
         )
-    return out
+    return materialize(out, "weighted")
 
 
 def match_weight(model: MatchModel, frequency: dict[str, Column]) -> Column:
@@ -58,11 +61,8 @@ def match_weight(model: MatchModel, frequency: dict[str, Column]) -> Column:
     weight = F.lit(math.log2(model.prior / (1 - model.prior)))
     for f in COMPARED:
         level = F.col(f"gamma_{f}")
-        terms = [math.log2(m / u) for m, u in zip(model.m[f], model.u[f])]
-        term = F.when(level == TOP_LEVEL[f], terms[-1])
-        for i in range(TOP_LEVEL[f] - 1, -1, -1):
-            term = term.when(level == i, terms[i])
-        weight = weight + term.otherwise(0.0)
+        terms = [0.0] + [math.log2(m / u) for m, u in zip(model.m[f], model.u[f])]
+        weight = weight + F.get(F.array(*[F.lit(t) for t in terms]), level + 1)
         if f in frequency:
             adjust = F.log2(F.lit(model.u[f][-1]) / frequency[f])
             weight = weight + F.when((level == TOP_LEVEL[f]) & frequency[f].isNotNull(), adjust).otherwise(0.0)
