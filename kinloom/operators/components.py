@@ -5,15 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kinloom.session import materialize
+from kinloom.session import Scratch
 
 MAX_ROUNDS = 100
 
 
-def _large_star(edges: DataFrame, by: tuple[str, ...]) -> DataFrame:
+def _least_neighbour(edges: DataFrame, by: tuple[str, ...]) -> DataFrame:
+    return edges.groupBy(*by, "a").agg(F.min("b").alias("m"))
+
+
+def _large_star(both: DataFrame, least: DataFrame, by: tuple[str, ...]) -> DataFrame:
     """Hang every larger neighbour of a node on the smallest one around it."""
-    both = edges.unionByName(edges.select(*by, F.col("b").alias("a"), F.col("a").alias("b")))
-    least = both.groupBy(*by, "a").agg(F.min("b").alias("m"))
     return (
         both.join(least, [*by, "a"])
         .filter("b > a")
@@ -21,15 +23,14 @@ def _large_star(edges: DataFrame, by: tuple[str, ...]) -> DataFrame:
     )
 
 
-def _small_star(edges: DataFrame, by: tuple[str, ...]) -> DataFrame:
+def _small_star(edges: DataFrame, least: DataFrame, by: tuple[str, ...]) -> DataFrame:
     """Hang every node and its smaller neighbours on the smallest of them."""
-    least = edges.groupBy(*by, "a").agg(F.min("b").alias("m"))
-    joined = edges.join(least, [*by, "a"])
     moved = F.array(
         F.struct(F.col("a").alias("x"), F.col("m").alias("y")), F.struct(F.col("b").alias("x"), F.col("m").alias("y"))
     )
     return (
-        joined.select(*by, F.inline(moved))
+        edges.join(least, [*by, "a"])
+        .select(*by, F.inline(moved))
         .filter("x <> y")
         .select(*by, F.col("x").alias("a"), F.col("y").alias("b"))
         .distinct()
@@ -40,30 +41,28 @@ def connected_components(edges: DataFrame, left: str, right: str, by: tuple[str,
     """(by, node, component): the component is the smallest node id in it.
 
     With `by`, independent graphs are solved in the same rounds. Minima combine
-    map-side and a hub's edges are split by AQE in the joins, so no task sees a
-    whole neighbourhood. Every round is written to the shared workspace.
+    map-side and are written before they are joined back: both inputs of the join are
+    then plain shuffles, the shape in which AQE splits a hub's edges over many tasks.
+    Rounds alternate between two tables in the shared workspace, and only the last stays.
     """
-    state = (
+    scratch = Scratch(edges.sparkSession, "components")
+    state = scratch.put(
         edges.filter(F.col(left) != F.col(right))
         .select(*by, F.greatest(left, right).alias("a"), F.least(left, right).alias("b"))
-        .distinct()
+        .distinct(),
+        "stars0",
     )
-    state = materialize(state, "edges")
     seen = None
-    for _ in range(MAX_ROUNDS):
-        state = materialize(_small_star(_large_star(state, by), by), "stars")
+    for step in range(1, MAX_ROUNDS + 1):
+        both = state.unionByName(state.select(*by, F.col("b").alias("a"), F.col("a").alias("b")))
+        hung = scratch.put(_large_star(both, scratch.put(_least_neighbour(both, by), "least"), by), "hung")
+        state = scratch.put(_small_star(hung, scratch.put(_least_neighbour(hung, by), "below"), by), f"stars{step % 2}")
         mark = state.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64(*by, "a", "b"))).first()
         if mark == seen:
             break
         seen = mark
     else:
         raise RuntimeError(f"components did not settle in {MAX_ROUNDS} rounds")
+    scratch.clear(keep=(f"stars{step % 2}",))
     roots = state.select(*by, F.col("b").alias("node"), F.col("b").alias("component")).distinct()
     return state.select(*by, F.col("a").alias("node"), F.col("b").alias("component")).unionByName(roots)
-
-
-def with_components(nodes: DataFrame, node: str, found: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
-    """Attach components to all nodes; a node without edges is its own."""
-    return nodes.join(found.withColumnRenamed("node", node), [*by, node], "left").withColumn(
-        "component", F.coalesce("component", F.col(node))
-    )

@@ -59,5 +59,29 @@ def materialize(df: DataFrame, name: str = "stage") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+class Scratch:
+    """One run's intermediate tables: a name that is written again replaces what it held.
+
+    Iterations alternate between two names, so a run keeps a fixed number of tables
+    however many rounds it takes. `clear` empties the tables that nobody reads any more.
+    """
+
+    def __init__(self, spark: SparkSession, name: str) -> None:
+        self.spark = spark
+        self.folder = f"{workspace(spark)}/{name}-{uuid.uuid4().hex}"
+        self.held: dict[str, DataFrame] = {}
+
+    def put(self, df: DataFrame, name: str) -> DataFrame:
+        path = f"{self.folder}/{name}"
+        df.write.mode("overwrite").parquet(path)
+        self.held[name] = self.spark.read.schema(df.schema).parquet(path)
+        return self.held[name]
+
+    def clear(self, keep: tuple[str, ...] = ()) -> None:
+        for name in [n for n in self.held if n not in keep]:
+            empty = self.spark.createDataFrame([], self.held.pop(name).schema)
+            empty.write.mode("overwrite").parquet(f"{self.folder}/{name}")
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
