@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from kinloom.llm import decontam, quality, simhash
+from kinloom.llm import decontam, kdtree, mixing, quality, simhash
 from kinloom.sources.tables import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -24,6 +24,11 @@ def op1_simhash(spark, sf):
     return found.select("doc_id", "fingerprint", "component_id")
 
 
+@query
+def op2_kd_shards(spark, sf):
+    return kdtree.shard_rows(read_table(spark, sf, "documents"), shards=8)
+
+
 @query
 def op3_decontamination(spark, sf):
     return decontam.contaminated(read_table(spark, sf, "documents"), read_table(spark, sf, "benchmark"))
@@ -32,3 +37,8 @@ def op3_decontamination(spark, sf):
 @query
 def op4_quality_cascade(spark, sf):
     return quality.quality_report(read_table(spark, sf, "documents"))
+
+
+@query
+def op9_temperature_mix(spark, sf):
+    return mixing.mix(read_table(spark, sf, "documents")).drop("key")
