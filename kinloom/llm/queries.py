@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from kinloom.llm import decontam, kdtree, mixing, quality, simhash
+from kinloom.llm import decontam, kdtree, lm, mixing, quality, secrets, simhash, urls, warc
 from kinloom.sources.tables import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -42,3 +42,23 @@ def op4_quality_cascade(spark, sf):
 @query
 def op9_temperature_mix(spark, sf):
     return mixing.mix(read_table(spark, sf, "documents")).drop("key")
+
+
+@query
+def op7_secret_ownership(spark, sf):
+    return secrets.secret_spans(read_table(spark, sf, "documents"))
+
+
+@query
+def op6_recurrent_lm(spark, sf):
+    return lm.score_documents(read_table(spark, sf, "documents"))
+
+
+@query
+def op8_seekable_warc(spark, sf):
+    return warc.round_trip(read_table(spark, sf, "pages"))
+
+
+@query
+def op10_url_trees(spark, sf):
+    return urls.filter_urls(read_table(spark, sf, "pages"))
