@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from kinloom.llm import decontam, kdtree, lm, mixing, quality, secrets, simhash, urls, warc
+from kinloom.llm import decontam, kdtree, lm, mixing, pii, quality, secrets, simhash, urls, warc
 from kinloom.sources.tables import read_table
 
+SURROGATE_KEY = "registered query"  # a job passes its own secret
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 
@@ -49,6 +50,11 @@ def op7_secret_ownership(spark, sf):
     return secrets.secret_spans(read_table(spark, sf, "documents"))
 
 
+@query
+def op5_surrogates(spark, sf):
+    return pii.surrogate_report(read_table(spark, sf, "documents"), key=SURROGATE_KEY)
+
+
 @query
 def op6_recurrent_lm(spark, sf):
     return lm.score_documents(read_table(spark, sf, "documents"))
