@@ -41,9 +41,10 @@ def connected_components(edges: DataFrame, left: str, right: str, by: tuple[str,
     """(by, node, component): the component is the smallest node id in it.
 
     With `by`, independent graphs are solved in the same rounds. Minima combine
-    map-side and are written before they are joined back: both inputs of the join are
-    then plain shuffles, the shape in which AQE splits a hub's edges over many tasks.
-    Rounds alternate between two tables in the shared workspace, and only the last stays.
+    map-side. Where hubs gather edges (the large star) they are written before they are
+    joined back: both inputs of the join are then plain shuffles, the shape in which AQE
+    splits a hub's edges over many tasks. Rounds alternate between two tables in the shared
+    workspace, end as soon as every node hangs on one root, and only the last table stays.
     """
     scratch = Scratch(edges.sparkSession, "components")
     state = scratch.put(
@@ -52,17 +53,23 @@ def connected_components(edges: DataFrame, left: str, right: str, by: tuple[str,
         .distinct(),
         "stars0",
     )
-    seen = None
     for step in range(1, MAX_ROUNDS + 1):
+        if _settled(state, by):
+            break
         both = state.unionByName(state.select(*by, F.col("b").alias("a"), F.col("a").alias("b")))
         hung = scratch.put(_large_star(both, scratch.put(_least_neighbour(both, by), "least"), by), "hung")
-        state = scratch.put(_small_star(hung, scratch.put(_least_neighbour(hung, by), "below"), by), f"stars{step % 2}")
-        mark = state.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64(*by, "a", "b"))).first()
-        if mark == seen:
-            break
-        seen = mark
+        state = scratch.put(_small_star(hung, _least_neighbour(hung, by), by), f"stars{step % 2}")
     else:
         raise RuntimeError(f"components did not settle in {MAX_ROUNDS} rounds")
-    scratch.clear(keep=(f"stars{step % 2}",))
+    scratch.clear(keep=(f"stars{(step - 1) % 2}",))
     roots = state.select(*by, F.col("b").alias("node"), F.col("b").alias("component")).distinct()
     return state.select(*by, F.col("a").alias("node"), F.col("b").alias("component")).unionByName(roots)
+
+
+def _settled(state: DataFrame, by: tuple[str, ...]) -> bool:
+    """Whether every edge ends at a root: no node hangs on two others, and none that hangs has others on it."""
+    ends = state.select(*by, F.col("a").alias("n"), F.lit(1).alias("hangs")).unionByName(
+        state.select(*by, F.col("b").alias("n"), F.lit(0).alias("hangs"))
+    )
+    nodes = ends.groupBy(*by, "n").agg(F.sum("hangs").alias("hangs"), F.min("hangs").alias("holds"))
+    return nodes.filter((F.col("hangs") > 1) | ((F.col("hangs") > 0) & (F.col("holds") == 0))).isEmpty()

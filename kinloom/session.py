@@ -71,9 +71,10 @@ class Scratch:
         self.folder = f"{workspace(spark)}/{name}-{uuid.uuid4().hex}"
         self.held: dict[str, DataFrame] = {}
 
-    def put(self, df: DataFrame, name: str) -> DataFrame:
+    def put(self, df: DataFrame, name: str, compression: str = "none") -> DataFrame:
+        """Plain by default: keys and hashes hardly compress, and codecs hold memory outside the heap."""
         path = f"{self.folder}/{name}"
-        df.write.mode("overwrite").parquet(path)
+        df.write.mode("overwrite").option("compression", compression).parquet(path)
         self.held[name] = self.spark.read.schema(df.schema).parquet(path)
         return self.held[name]
 
