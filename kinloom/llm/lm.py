@@ -165,6 +165,7 @@ def score_documents(docs: DataFrame, shape: gru.Shape = gru.Shape()) -> DataFram
         .mapInArrow(encode, f"doc_id {kind}, held_out boolean, ids binary, tail array<binary>, known long, base double, outside double, n_outside long")
         .withColumn("row", F.monotonically_increasing_id()),
         "encoded",
+        "zstd",
     )
     # The other tokens meet their counts by name; a token that training did not see counts zero.
     rare = encoded.select("row", F.explode("tail").alias("token"))

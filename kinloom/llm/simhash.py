@@ -214,7 +214,7 @@ def near_duplicates(docs: DataFrame, threshold: int = THRESHOLD, crowded: int =
     joined = scratch.put(linked.join(distinct, linked.node == distinct.fp).select("fp", "component", "first"), "linked")
     of_first = F.struct(F.col("first.doc_id").isNull(), F.col("first.doc_id"), F.col("first.key"))
     roots = scratch.put(joined.groupBy("component").agg(F.min_by("first", of_first).alias("root")), "roots")
-    moved = scratch.put(joined.join(roots, "component").select("fp", "root"), "moved")
+    moved = joined.join(roots, "component").select("fp", "root")
     named = scratch.put(
         distinct.join(moved, "fp", "left").select("fp", F.coalesce("root", "first").alias("first")), "named"
     )
