@@ -298,40 +298,41 @@ def listed(value: str, kind: str = "") -> str:
     return f"coalesce(array_to_string(list_sort(list(DISTINCT {value}) FILTER (WHERE {where})), '|'), '')"
 
 
+LATEST_STATUS = {
+    "tax_status": "TAX_RECORD", "driving_licence_status": "DRIVING_LICENCE", "passport_status": "PASSPORT",
+    "employment_status": "EMPLOYMENT_REGISTRATION", "housing_assistance": "HOUSING_BENEFIT", "veteran_status": "VETERAN_RECORD",
+}
+DETAIL_LISTS = {
+    "benefits_received": "BENEFITS_RECORD", "current_prescriptions": "PRESCRIPTION", "education_history": "EDUCATION_RECORD",
+}
+TYPE_COUNTS = {"healthcare_registrations": "HEALTHCARE_REGISTRATION", "hospital_visits": "HOSPITAL_VISIT"}
+# Each survivor is the value of the largest rank key among a person's different values.
 PROFILES = f"""
-spell AS (SELECT master_citizen_id, first_name, last_name, count(*) AS n FROM linked GROUP BY 1,2,3),
-bn AS (SELECT master_citizen_id, first_name||' '||last_name AS preferred_name FROM spell QUALIFY row_number() OVER (
-  PARTITION BY master_citizen_id ORDER BY length(first_name) DESC, {mixed('first_name')} DESC, {mixed('last_name')} DESC,
-  n DESC, first_name DESC, last_name DESC) = 1),
-bd AS (SELECT master_citizen_id, date_of_birth FROM (SELECT master_citizen_id, date_of_birth, count(*) AS n FROM linked GROUP BY 1,2)
-  QUALIFY row_number() OVER (PARTITION BY master_citizen_id ORDER BY n DESC, date_of_birth DESC) = 1),
-ba AS (SELECT master_citizen_id, address AS current_address, city AS current_city, postcode AS current_postcode FROM (
-  SELECT *, count(*) OVER (PARTITION BY master_citizen_id, address, city, postcode) AS freq,
-    CAST(address IS NOT NULL AS INT) + CAST(city IS NOT NULL AS INT) + CAST(postcode IS NOT NULL AS INT) AS filled
-  FROM linked WHERE address IS NOT NULL OR city IS NOT NULL OR postcode IS NOT NULL)
-  QUALIFY row_number() OVER (PARTITION BY master_citizen_id ORDER BY freq DESC, filled DESC, record_date DESC,
-    coalesce(address,'') DESC, coalesce(city,'') DESC, coalesce(postcode,'') DESC) = 1),
-ca AS (SELECT master_citizen_id, avg(match_probability) AS confidence_score, count(*) AS record_count,
+named AS (SELECT master_citizen_id, arg_max(concat(first_name, ' ', last_name),
+    row(length(first_name), {mixed('first_name')}, {mixed('last_name')}, votes, first_name, last_name)) AS preferred_name
+  FROM (SELECT master_citizen_id, first_name, last_name, count(*) AS votes FROM linked GROUP BY ALL) GROUP BY ALL),
+born AS (SELECT master_citizen_id, arg_max(date_of_birth, row(votes, date_of_birth)) AS date_of_birth
+  FROM (SELECT master_citizen_id, date_of_birth, count(*) AS votes FROM linked GROUP BY ALL) GROUP BY ALL),
+home AS (SELECT master_citizen_id, arg_max(place, row(votes, list_count([place.a, place.c, place.p]), seen,
+    coalesce(place.a, ''), coalesce(place.c, ''), coalesce(place.p, ''))) AS best
+  FROM (SELECT master_citizen_id, {{'a': address, 'c': city, 'p': postcode}} AS place, count(*) AS votes, max(record_date) AS seen
+    FROM linked WHERE coalesce(address, city, postcode) IS NOT NULL GROUP BY ALL) GROUP BY ALL),
+tally AS (SELECT master_citizen_id, avg(match_probability) AS confidence_score, count(*) AS record_count,
   count(DISTINCT agency) AS agency_count, {listed('agency')} AS linked_agencies,
   {newest('marital_status', 'TAX_RECORD', 'BENEFITS_RECORD')} AS marital_status,
-  {newest('status', 'TAX_RECORD')} AS tax_status, {listed('detail', 'BENEFITS_RECORD')} AS benefits_received,
-  count(*) FILTER (WHERE record_type = 'HEALTHCARE_REGISTRATION') AS healthcare_registrations,
-  count(*) FILTER (WHERE record_type = 'HOSPITAL_VISIT') AS hospital_visits,
-  {listed('detail', 'PRESCRIPTION')} AS current_prescriptions, {listed('detail', 'EDUCATION_RECORD')} AS education_history,
-  {newest('status', 'DRIVING_LICENCE')} AS driving_licence_status, {newest('status', 'PASSPORT')} AS passport_status,
-  {newest('status', 'EMPLOYMENT_REGISTRATION')} AS employment_status, {newest('status', 'HOUSING_BENEFIT')} AS housing_assistance,
-  {newest('status', 'VETERAN_RECORD')} AS veteran_status FROM linked GROUP BY 1),
-raw_profiles AS MATERIALIZED (SELECT bn.master_citizen_id, preferred_name, date_of_birth, current_address, current_city, current_postcode,
-  ca.* EXCLUDE (master_citizen_id) FROM bn JOIN bd USING (master_citizen_id) LEFT JOIN ba USING (master_citizen_id) JOIN ca USING (master_citizen_id)),
-profiles AS (SELECT * FROM raw_profiles)"""
+  {', '.join(f"{newest('status', kind)} AS {name}" for name, kind in LATEST_STATUS.items())},
+  {', '.join(f"{listed('detail', kind)} AS {name}" for name, kind in DETAIL_LISTS.items())},
+  {', '.join(f"count(*) FILTER (record_type = '{kind}') AS {name}" for name, kind in TYPE_COUNTS.items())} FROM linked GROUP BY ALL),
+profiles AS MATERIALIZED (SELECT tally.*, preferred_name, date_of_birth,
+    best.a AS current_address, best.c AS current_city, best.p AS current_postcode
+  FROM tally JOIN named USING (master_citizen_id) JOIN born USING (master_citizen_id) LEFT JOIN home USING (master_citizen_id))"""
 WITH_P = f"WITH {LINKED}, {PROFILES}"
 SHOWN = "SELECT * REPLACE (round(confidence_score,6) AS confidence_score)"
 ORACLES["profile_build"] = f"{WITH_P} {SHOWN} FROM profiles"
-ORACLES["best_name"] = f"{WITH_P} SELECT * FROM bn"
-ORACLES["best_dob"] = f"WITH {COARSE}, {PROFILES} SELECT * FROM bd"
+ORACLES["best_name"] = f"{WITH_P} SELECT * FROM named"
+ORACLES["best_dob"] = f"WITH {COARSE}, {PROFILES} SELECT * FROM born"
 ORACLES["best_address"] = (
-    f"WITH {COARSE}, {PROFILES} SELECT master_citizen_id, current_address, current_city, current_postcode "
-    "FROM bd LEFT JOIN ba USING (master_citizen_id)"
+    f"WITH {COARSE}, {PROFILES} SELECT master_citizen_id, current_address, current_city, current_postcode FROM profiles"
 )
 ORACLES["linked_profile_build"] = f"""WITH RECURSIVE {RATED},
 linked AS MATERIALIZED (SELECT r.* EXCLUDE (match_probability), c.master_citizen_id, c.match_probability
@@ -640,8 +641,9 @@ med AS (SELECT {', '.join(f'median({f}) AS {f}' for f in FEATURE_NAMES)} FROM fe
 mad AS (SELECT {', '.join(f'greatest(median(abs(x.{f} - med.{f})) * 1.4826, 1e-9) AS {f}' for f in FEATURE_NAMES)} FROM featured x, med),
 zed AS MATERIALIZED (SELECT x.master_citizen_id, greatest({', '.join(f'abs(x.{f} - med.{f})/mad.{f}' for f in FEATURE_NAMES)}) AS score FROM featured x, med, mad)"""
 ORACLES["robust_z"] = f"WITH {Z} SELECT master_citizen_id, round(score,6) AS score FROM zed"
-ERRORS = """split AS (SELECT person_index FROM linked GROUP BY 1 HAVING count(DISTINCT master_citizen_id) > 1),
-errors AS (SELECT master_citizen_id, count(DISTINCT person_index) > 1 OR bool_or(person_index IN (SELECT person_index FROM split)) AS is_error FROM linked GROUP BY 1)"""
+ERRORS = """cells AS (SELECT DISTINCT master_citizen_id, person_index FROM linked),
+spread AS (SELECT person_index, count(*) AS clusters FROM cells GROUP BY ALL),
+errors AS (SELECT master_citizen_id, greatest(count(*), max(clusters)) > 1 AS is_error FROM cells JOIN spread USING (person_index) GROUP BY ALL)"""
 ORACLES["error_labels"] = f"WITH {COARSE}, {ERRORS} SELECT * FROM errors"
 
 
