@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kinloom.functions import expr
-from kinloom.operators.forest import SAMPLE, TREES, grow_forest, score_and_attribute
+from kinloom.operators.forest import grow_forest, score_and_attribute, tree_samples
 from kinloom.operators.lof import local_outlier_factors
 from kinloom.operators.ranking import ranking_metrics
 from kinloom.schemas import MASTER_ID, TRUTH, require
@@ -79,15 +79,12 @@ def medians(vectors: DataFrame) -> dict[str, float]:
 def forest_scores(featured: DataFrame, contamination: float = CONTAMINATION, seed: int = SEED) -> DataFrame:
     """The anomaly table: score 0-100, flag, top factors with their evidence.
 
-    The forest is grown on a bounded hash sample of the profiles and then scored,
-    in the tasks, once per distinct feature vector.
+    Each tree is grown on its own sample of all profiles; the forest is then scored, in
+    the tasks, once per distinct feature vector.
     """
     check_contamination(contamination)
     vectors = materialize(distinct_vectors(featured), "vectors")
-    order = F.xxhash64(F.lit(seed), F.col(MASTER_ID))
-    pool = featured.select(MASTER_ID, *FEATURES).orderBy(order, MASTER_ID).limit(TREES * SAMPLE).collect()
-    rows = np.array([[float(r[f]) for f in FEATURES] for r in pool])
-    forest, size = grow_forest(rows, seed)
+    forest, size = grow_forest(tree_samples(featured, MASTER_ID, list(FEATURES), seed), seed)
     middle = medians(vectors)
     run = score_and_attribute(featured.sparkSession, forest, size, [middle[f] for f in FEATURES], list(FEATURES))
     scored = materialize(vectors.withColumn("s", run).withColumn("raw", F.get("s", F.lit(0))), "scored")
@@ -150,15 +147,13 @@ def identity_conflicts(linked: DataFrame) -> DataFrame:
     return values.join(disputed, [MASTER_ID, "field"]).withColumn("label", label)
 
 
-def conflict_summaries(linked: DataFrame, shown: int = 20) -> DataFrame:
-    """Per cluster: its disputed fields, the number of values and the first of them.
+def conflict_summaries(linked: DataFrame) -> DataFrame:
+    """Per cluster: its disputed fields with all their values, sorted.
 
-    `min` and `max` of a hot cluster stay cheap; all values are in the rows above.
+    A list holds different dates of birth or postcodes, of which there are only so many.
     """
     rows = identity_conflicts(linked)
-    return rows.groupBy(MASTER_ID, "field", "label", "value_count").agg(
-        F.min("value").alias("lowest_value"), F.max("value").alias("highest_value")
-    )
+    return rows.groupBy(MASTER_ID, "field", "label", "value_count").agg(F.sort_array(F.collect_list("value")).alias("values"))
 
 
 def anomaly_totals(results: DataFrame) -> DataFrame:
@@ -187,7 +182,7 @@ def anomaly_queue(results: DataFrame, profiles: DataFrame, linked: DataFrame, li
     conflicts = (
         conflict_summaries(linked.join(worst.select(MASTER_ID), MASTER_ID, "left_semi"))
         .groupBy(MASTER_ID)
-        .agg(F.array_sort(F.collect_list(F.struct("field", "label", "value_count", "lowest_value", "highest_value"))).alias("conflicts"))
+        .agg(F.array_sort(F.collect_list(F.struct("field", "label", "value_count", "values"))).alias("conflicts"))
     )
     return (
         worst.join(profiles, MASTER_ID)

@@ -69,7 +69,7 @@ def field_agreement(linked: DataFrame) -> DataFrame:
 
 def agreement_lists(linked: DataFrame) -> DataFrame:
     """The distinct values as sorted lists, in pages where a cluster has very many."""
-    return paged_lists(field_values(linked), [MASTER_ID, "field"], F.col("value"), "distinct_values", F.col("value"))
+    return paged_lists(field_values(linked), [MASTER_ID, "field"], F.col("value"), "distinct_values")
 
 
 def _tag(condition: Column, name: str, basis: Column) -> Column:
@@ -162,9 +162,10 @@ def dossiers(linked: DataFrame, profiles: DataFrame, as_of: str | None = None) -
     """Nested form: the profile with its records by date, agreement and tags.
 
     A cluster of ordinary size is one row. A hot cluster continues in further
-    pages, each with the same profile columns, so no row grows without bound.
+    pages, each with the same profile columns, so no row grows without bound; the
+    pages in sequence are the person's records by date.
     """
-    paged = with_page(dossier_records(linked), [MASTER_ID], F.col(RECORD_ID))
+    paged = with_page(dossier_records(linked), [MASTER_ID], ("record_date", RECORD_ID))
     ordered = ("record_date", *[c for c in RECORD_FIELDS if c not in ("record_date", "attributes")])
     item = F.struct(*ordered, F.map_entries("attributes").alias("attributes"))
     records = paged.groupBy(MASTER_ID, "page").agg(F.array_sort(F.collect_list(item)).alias("records"))

@@ -1,4 +1,4 @@
-"""Isolation forest (Liu et al. 2008): grown on a bounded sample, scored everywhere."""
+"""Isolation forest (Liu et al. 2008): each tree grown on a sample of all rows, scored everywhere."""
 
 from __future__ import annotations
 
@@ -6,8 +6,9 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 TREES = 100
 SAMPLE = 256
@@ -45,13 +46,31 @@ def grow_tree(rows: np.ndarray, rng: np.random.Generator, limit: int) -> np.ndar
     return np.array(nodes, dtype=float)
 
 
-def grow_forest(pool: np.ndarray, seed: int, trees: int = TREES, sample: int = SAMPLE) -> tuple[list[np.ndarray], int]:
-    """`trees` trees, each on `sample` rows of the pool drawn without replacement."""
+def tree_samples(rows: DataFrame, row_id: str, features: list[str], seed: int, trees: int = TREES, sample: int = SAMPLE) -> list[np.ndarray]:
+    """`sample` rows for each tree, drawn without replacement from all of `rows` by a hash of tree and row.
+
+    Every row is a candidate of a tree with twice the chance it needs; of its candidates a
+    tree takes the first by hash. What reaches the driver is trees x sample rows, the
+    algorithm's own parameters.
+    """
+    share = min(1.0, 2 * sample / max(rows.count(), 1))
+    draw = lambda t: F.xxhash64(F.lit(seed), F.col(row_id), t)
+    picked = F.filter(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: F.pmod(draw(t), F.lit(1 << 40)) < int(share * (1 << 40)))
+    chosen = rows.select(row_id, *features, F.explode(picked).alias("tree"))
+    first = F.row_number().over(Window.partitionBy("tree").orderBy(draw(F.col("tree")), row_id))
+    taken = chosen.withColumn("_n", first).filter(F.col("_n") <= sample).orderBy("tree", "_n").collect()
+    drawn: dict[int, list] = {}
+    for r in taken:
+        drawn.setdefault(r["tree"], []).append([float(r[f]) for f in features])
+    return [np.array(drawn[t]) for t in sorted(drawn)]
+
+
+def grow_forest(samples: list[np.ndarray], seed: int, sample: int = SAMPLE) -> tuple[list[np.ndarray], int]:
+    """A tree on each sample."""
     rng = np.random.default_rng(seed)
-    size = min(sample, len(pool))
+    size = min(sample, max(map(len, samples), default=0))
     limit = math.ceil(math.log2(max(size, 2)))
-    grown = [grow_tree(pool[rng.choice(len(pool), size, replace=False)], rng, limit) for _ in range(trees)]
-    return grown, size
+    return [grow_tree(rows, rng, limit) for rows in samples], size
 
 
 def anomaly_scores(forest: list[np.ndarray], size: int, x: np.ndarray) -> np.ndarray:

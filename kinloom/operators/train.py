@@ -7,7 +7,6 @@ from dataclasses import asdict, dataclass
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from kinloom.operators.blocking import (
     BLOCKING_RULES,
@@ -19,8 +18,9 @@ from kinloom.operators.blocking import (
     union_pair_counts,
 )
 from kinloom.operators.compare import PARTS, TOP_LEVEL, gammas, own_gammas, with_parts
+from kinloom.operators.ids import global_position
 from kinloom.schemas import COMPARED
-from kinloom.session import materialize, shuffle_partitions
+from kinloom.session import materialize
 
 # Training settings.
 RECALL = 0.6
@@ -31,7 +31,6 @@ TRAINING_RULES: tuple[Rule, ...] = (("first_name", "last_name"), ("date_of_birth
 FLOOR = 1e-6
 MAX_ITERATIONS = 25
 TOLERANCE = 1e-4
-SAMPLE_ROWS = 20_000
 
 Levels = dict[str, list[float]]  # probability per level 0..top
 
@@ -65,26 +64,26 @@ def prior_estimate(records: DataFrame, recall: float = RECALL) -> DataFrame:
 
 
 def random_pairs(captured: DataFrame, max_pairs: int = MAX_RANDOM_PAIRS, seed: int = SEED) -> DataFrame:
-    """About `max_pairs` different random pairs of a bounded random row sample.
+    """About `max_pairs` different random pairs of captures from the whole pool.
 
-    Sampled rows stand in a ring in hash order and each meets the rows at the next
-    offsets. That is an equi-join on ring positions, not a product of the sample.
+    Captures stand in a ring in hash order and each meets those at the next offsets: an
+    equi-join on ring positions. A pool larger than `max_pairs` is thinned by the hash to
+    about that many captures, each with one partner.
     """
     captured = with_parts(captured)
     columns = captured.columns
     order = F.xxhash64(F.lit(seed), F.col("source_record_id"))
-    sample = captured.withColumn("_h", order).orderBy("_h", "source_record_id").limit(SAMPLE_ROWS)
-    # The sample is at most SAMPLE_ROWS rows, so one window partition is bounded.
-    ring = sample.withColumn("pos", F.row_number().over(Window.orderBy("_h", "source_record_id")) - 1)
-    ring = materialize(ring.select("pos", F.struct(*columns).alias("side")), "ring")
+    share = min(1.0, max_pairs / max(captured.count(), 1))
+    drawn = captured.withColumn("_h", order).filter(F.pmod("_h", F.lit(1 << 40)) < int(share * (1 << 40)))
+    ring = materialize(
+        global_position(drawn, "_h", "source_record_id", name="pos").select("pos", F.struct(*columns).alias("side")), "ring"
+    )
     n = ring.count()
     steps = max(min((n - 1) // 2, -(-max_pairs // max(n, 1))), 1)
     offsets = F.sequence(F.lit(1), F.lit(steps)) if n > 1 else F.array().cast("array<int>")
-    left = ring.repartition(shuffle_partitions(ring.sparkSession), "pos").select(
-        F.col("side").alias("l"), "pos", F.explode(offsets).alias("step")
-    )
-    meets = (F.col("pos") + F.col("step")) % F.lit(max(n, 1))
-    right = F.broadcast(ring.select(F.col("side").alias("r"), F.col("pos").alias("meets")))
+    left = ring.select(F.col("side").alias("l"), "pos", F.explode(offsets).alias("step"))
+    meets = (F.col("pos") + F.col("step") - 1) % F.lit(max(n, 1)) + 1
+    right = ring.select(F.col("side").alias("r"), F.col("pos").alias("meets"))
     return left.withColumn("meets", meets).join(right, "meets").select("l", "r")
 
 

@@ -596,7 +596,9 @@ def anomaly_queue(spark, sf):
     return queue.withColumns(
         {
             "top_factors": F.array_join(F.transform("top_factors", lambda f: f["feature"]), "|"),
-            "conflicts": F.array_join(F.transform("conflicts", lambda c: c["field"]), "|"),
+            "conflicts": F.array_join(
+                F.transform("conflicts", lambda c: F.concat(c["field"], F.lit("="), F.array_join(c["values"], ","))), "|"
+            ),
         }
     )
 

@@ -14,8 +14,9 @@ from kinloom.sources.synth import citizens, noisy_records, people
 from kinloom.sources.synth_values import NOISE_LEVELS, PEOPLE, SEED
 from kinloom.sources.tables import persist
 
-# Tables that describe the generated records and go stale with them. The noise
-# benchmark keeps its own population, so its results stay.
+# The noise benchmark has a population of its own, so its results stay.
+KEPT = ("benchmark_results",)
+# Tables that describe the generated records and go stale with them.
 DOWNSTREAM = ("clusters", "linkage_edges", "linkage_copies", "linkage_members", "citizen_profiles", "anomaly_results")
 
 
@@ -40,6 +41,8 @@ class Store:
         return number
 
     def path(self, table: str) -> str:
+        if table in KEPT:
+            return f"{self.root}/{table}"
         return f"{self.root}/v{self.version()}/{table}"
 
     def _exists(self, path: str) -> bool:

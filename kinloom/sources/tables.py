@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from kinloom.schemas import COMPARED, RECORD_ID, TRUTH, require
+from kinloom.schemas import COMPARED, RECORD_ID, require
 
 
 def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -21,7 +21,3 @@ def linkage_pool(records: DataFrame) -> DataFrame:
     """What the matcher may see: the id and the compared columns, never the truth."""
     require(records, (RECORD_ID, *COMPARED), "generation")
     return records.select(RECORD_ID, *COMPARED)
-
-
-def require_truth(records: DataFrame) -> DataFrame:
-    return require(records, (RECORD_ID, TRUTH), "generation (with ground truth)")
