@@ -2,13 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
-
-from kinloom.session import Scratch
 
 # Words are runs of anything but these six characters: space, tab, line feed,
 # vertical tab, form feed, carriage return.
@@ -32,31 +27,3 @@ def fresh(df: DataFrame, name: str) -> str:
 def text_key(text: Column) -> Column:
     """Tells the rows of a repeated id apart by their text; a null text is not an empty one."""
     return F.when(text.isNull(), F.lit(0)).otherwise(F.xxhash64(text, F.lit(1)))
-
-
-def running_total(
-    scratch: Scratch, df: DataFrame, groups: Sequence[str], order: Sequence[str], value: str | None, name: str = "before"
-) -> DataFrame:
-    """`df` with the sum of `value` (None: the number of rows) before each row, in its group and order.
-
-    The rows are dealt by ranges of (groups, order) and written, so the part a row is in
-    is a fact on disk. A total is then one sum per part and group plus a window inside one
-    part, and a group of any size is spread over as many parts as it fills.
-    `groups` must not be null.
-    """
-    amount = F.lit(1).cast("long") if value is None else F.col(value)
-    ranged = scratch.put(
-        df.repartitionByRange(*groups, *order).withColumn("_part", F.spark_partition_id()), f"ranged_{name}"
-    )
-    sums = ranged.groupBy("_part", *groups).agg(F.sum(amount).alias("_sum"))
-    earlier = Window.partitionBy(*groups).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sums.select("_part", *groups, F.coalesce(F.sum("_sum").over(earlier), F.lit(0)).alias("_offset"))
-    inside = (
-        Window.partitionBy("_part", *groups).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    )
-    return (
-        ranged.withColumn("_inside", F.coalesce(F.sum(amount).over(inside), F.lit(0)))
-        .join(offsets, ["_part", *groups])
-        .withColumn(name, F.col("_offset") + F.col("_inside"))
-        .drop("_part", "_inside", "_offset")
-    )

@@ -15,7 +15,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kinloom.llm.common import running_total
+from kinloom.operators.ids import running_total
 from kinloom.session import Scratch
 
 
@@ -107,7 +107,7 @@ def _descend(df: DataFrame, level: list[tuple], node: str, dims) -> DataFrame:
     right = F.struct(value.alias("__kd_c0"), F.col("__kd_t0").alias("__kd_c1"), F.col("__kd_t1").alias("__kd_c2"), F.col("__kd_t2").alias("__kd_c3")) > F.struct(
         "__kd_c0", "__kd_c1", "__kd_c2", "__kd_c3"
     )
-    moved = df.join(splits, node, "left").withColumn(node, F.when(right, F.col(node) + F.col("__kd_l")).otherwise(F.col(node)))
+    moved = df.join(splits, node, "left").withColumn(node, F.when(F.col("__kd_l").isNotNull() & right, F.col(node) + F.col("__kd_l")).otherwise(F.col(node)))
     return moved.select(*df.columns)
 
 

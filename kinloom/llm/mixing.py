@@ -19,7 +19,8 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kinloom.llm.common import running_total, text_key, words
+from kinloom.llm.common import text_key, words
+from kinloom.operators.ids import running_total
 from kinloom.session import Scratch
 
 MAX_REPEATS = 2.0

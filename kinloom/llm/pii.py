@@ -168,7 +168,7 @@ def replace(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
     kept = docs.drop("entities")
     column = F.col(text)
     some = F.coalesce(F.regexp_like(column, F.lit(ENTITY)), F.lit(False))
-    row, found, gaps = fresh(kept, "_row"), fresh(kept, "_found"), fresh(kept, "_gaps")
+    row, found, gaps, told = (fresh(kept, n) for n in ("_row", "_found", "_gaps", "_told"))
     struct = "array<struct<kind:string,start:int,surrogate:string>>"
     plain = kept.filter(~some).withColumn("entities", F.array().cast(struct))
     hit = scratch.put(
@@ -188,11 +188,11 @@ def replace(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
     so_far = Window.partitionBy("row").orderBy("n").rowsBetween(Window.unboundedPreceding, 0)
     size = F.length("surrogate")
     placed = places.join(named, ["kind", "entity"]).withColumn("start", (F.sum(F.col("gap") + size).over(so_far) - size).cast("int"))
-    told = placed.groupBy("row").agg(F.sort_array(F.collect_list(F.struct("n", "kind", "start", "surrogate"))).alias("told"))
-    back = hit.join(told, hit[row] == told.row)
-    pieces = F.flatten(F.zip_with(F.slice(gaps, 1, F.size("told")), "told", lambda g, s: F.array(g, s["surrogate"])))
-    rewritten = F.concat(F.array_join(pieces, ""), F.get(gaps, F.size("told")))
-    listed = F.transform("told", lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["surrogate"].alias("surrogate")))
+    per_row = placed.groupBy(F.col("row").alias(row)).agg(F.sort_array(F.collect_list(F.struct("n", "kind", "start", "surrogate"))).alias(told))
+    back = hit.join(per_row, row)
+    pieces = F.flatten(F.zip_with(F.slice(gaps, 1, F.size(told)), told, lambda g, s: F.array(g, s["surrogate"])))
+    rewritten = F.concat(F.array_join(pieces, ""), F.get(gaps, F.size(told)))
+    listed = F.transform(told, lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["surrogate"].alias("surrogate")))
     changed = back.withColumns({text: rewritten, "entities": listed})
     return plain.unionByName(changed.select(*plain.columns))
 

@@ -7,7 +7,7 @@ CLASHES = (
     "passage score ids tail base digest payload label count entity surrogate entities blocked"
 ).split()
 LONG = " ".join(f"wort{i}" for i in range(40_000))
-PROSE = " ".join(f"sailor{i} carried lantern{i % 7} beyond" for i in range(30))
+PROSE = " ".join(f"sailor{i} carried{i % 5} lantern{i % 7} beyond{i % 3}" for i in range(30))
 
 
 def odd_documents(spark):
