@@ -30,6 +30,7 @@ K1, B = 1.2, 0.75
 THRESHOLD = 0.6
 OVERLAP = 0.8
 BLOCK = 8  # postings that share one bound
+TOGETHER = 50_000  # words of texts that are looked up in one go
 INDEX_BYTES = 32 << 20  # text of the items that one index, sent to all executors, may hold
 
 _WORD = re.compile(r"\w+")
@@ -160,30 +161,49 @@ class Index:
         over = score >= threshold - 1e-9
         return hit[over] // (self.n_blocks * BLOCK), hit[over] % (self.n_blocks * BLOCK), score[over]
 
-    def search(self, text: str | None, threshold: float, overlap: float) -> list[tuple]:
-        """(item id, first word of the passage, score, question overlap, answer overlap), the best passage per item.
+    def search(self, texts: list[str | None], threshold: float, overlap: float) -> Iterator[list[tuple]]:
+        """Per text: (item id, first word of the passage, score, question overlap, answer overlap), the best passage per item.
 
         Passages are twice as long as the longest item and overlap by half, so each copy of
-        an item lies whole in one of them.
+        an item lies whole in one of them. Texts are looked up together, TOGETHER words at a time.
         """
-        found = tokens(text)
-        ids = np.fromiter((self.terms.get(w, -1) for w in found), dtype=np.int64, count=len(found))
-        where = np.flatnonzero(ids >= 0)
-        if not len(where):
-            return []
-        passage = where // self.window
-        pair = np.unique(np.concatenate([passage * len(self.terms) + ids[where], np.maximum(passage - 1, 0) * len(self.terms) + ids[where]]))
-        best: dict[int, tuple] = {}
+        held: list[list[str]] = []
+        words = 0
+        for text in texts:
+            held.append(tokens(text))
+            words += len(held[-1])
+            if words >= TOGETHER:
+                yield from self._search(held, threshold, overlap)
+                held, words = [], 0
+        yield from self._search(held, threshold, overlap)
+
+    def _search(self, texts: list[list[str]], threshold: float, overlap: float) -> list[list[tuple]]:
+        best: list[dict[int, tuple]] = [{} for _ in texts]
+        sizes = np.array([len(found) // self.window + 1 for found in texts], dtype=np.int64)
+        first = np.cumsum(sizes) - sizes  # the number of each text's first passage
+        get, n = self.terms.get, sum(map(len, texts))
+        ids = np.fromiter((get(w, -1) for found in texts for w in found), dtype=np.int64, count=n)
+        lengths = np.array([len(found) for found in texts], dtype=np.int64)
+        begin = np.repeat(first, lengths)
+        passage = begin + (np.arange(n) - np.repeat(np.cumsum(lengths) - lengths, lengths)) // self.window
+        known = ids >= 0
+        ids, passage, begin = ids[known], passage[known], begin[known]
+        if not len(ids):
+            return [[] for _ in texts]
+        both = np.concatenate([passage, np.maximum(passage - 1, begin)])
+        pair = np.unique(both * len(self.terms) + np.concatenate([ids, ids]))
         for p, k, score in zip(*self.hits(pair // len(self.terms), pair % len(self.terms), threshold)):
-            inside = found[p * self.window : (p + 2) * self.window]
+            t = int(np.searchsorted(first, p, side="right")) - 1
+            start = int(p - first[t]) * self.window
+            inside = texts[t][start : start + 2 * self.window]
             question, answer = self.parts[k]
             q = common_words(question, inside) / len(question) if question else 1.0
             a = common_words(answer, inside) / len(answer) if answer else 1.0
             if min(q, a) >= overlap:
-                row = (self.ids[k], int(p * self.window), float(score), q, a)
-                if k not in best or (row[2], -row[1]) > (best[k][2], -best[k][1]):
-                    best[k] = row
-        return [best[k] for k in sorted(best)]
+                row = (self.ids[k], start, float(score), q, a)
+                if k not in best[t] or (row[2], -row[1]) > (best[t][k][2], -best[t][k][1]):
+                    best[t][k] = row
+        return [[found[k] for k in sorted(found)] for found in best]
 
 
 def indexes(items: DataFrame, item_id: str = "item_id", text: str = "text", index_bytes: int = INDEX_BYTES) -> list[Index]:
@@ -240,7 +260,8 @@ def contaminated(
         def of(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             index = sent.value
             for batch in batches:
-                rows = [(k, *hit) for k, x in enumerate(batch.column(1)) for hit in index.search(x.as_py(), threshold, overlap)]
+                found = index.search(batch.column(1).to_pylist(), threshold, overlap)
+                rows = [(k, *hit) for k, hits in enumerate(found) for hit in hits]
                 columns = list(zip(*rows)) or [[] for _ in range(6)]
                 ids = batch.column(0).take(pa.array(columns[0], type=pa.int64()))
                 rest = [pa.array(c) for c in columns[1:]] if rows else None
@@ -261,8 +282,8 @@ def drop_contaminated(
 
         def clean(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                texts = batch.column(batch.schema.get_field_index("text"))
-                yield batch.filter(pa.array([not sent.value.search(x.as_py(), threshold, overlap) for x in texts], type=pa.bool_()))
+                texts = batch.column(batch.schema.get_field_index("text")).to_pylist()
+                yield batch.filter(pa.array([not hits for hits in sent.value.search(texts, threshold, overlap)], type=pa.bool_()))
 
         docs = docs.mapInArrow(clean, docs.schema)
     return docs
