@@ -9,7 +9,7 @@ a document is scored as one sequence, however long.
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 
@@ -61,8 +61,9 @@ def initial(shape: Shape, counts: np.ndarray, seed: int = 6) -> np.ndarray:
 
 @dataclass
 class Window:
-    """Steps by lanes. `doc` numbers the documents; -1 is padding."""
+    """Steps by lanes. `doc` numbers the documents; -1 is padding. `goes_on`: the lanes of the window before that are left."""
 
+    goes_on: np.ndarray
     inputs: np.ndarray
     targets: np.ndarray
     keep: np.ndarray
@@ -71,34 +72,34 @@ class Window:
 
 @dataclass
 class Lanes:
-    """Deals documents to lanes: a lane that ends one takes the next."""
+    """Deals documents to lanes: a lane that ends one takes the next, and goes when none is left."""
 
     docs: Iterator[np.ndarray]
     lanes: int
     steps: int
     start: int
-    held: list = field(default_factory=list)
     taken: int = 0
 
     def windows(self) -> Iterator[Window]:
-        self.held = [None] * self.lanes
+        held: list[tuple[int, np.ndarray, int] | None] = [None] * self.lanes
         more = True
         while True:
-            inputs = np.full((self.lanes, self.steps), self.start, dtype=np.int64)
-            targets = np.zeros((self.lanes, self.steps), dtype=np.int64)
-            keep = np.ones((self.lanes, self.steps), dtype=np.float32)
-            doc = np.full((self.lanes, self.steps), -1, dtype=np.int64)
-            for lane in range(self.lanes):
+            goes_on = np.array([k for k, h in enumerate(held) if more or h is not None], dtype=np.int64)
+            held = [held[k] for k in goes_on]
+            shape = (len(held), self.steps)
+            inputs, targets = np.full(shape, self.start, dtype=np.int64), np.zeros(shape, dtype=np.int64)
+            keep, doc = np.ones(shape, dtype=np.float32), np.full(shape, -1, dtype=np.int64)
+            for lane in range(len(held)):
                 at = 0
                 while at < self.steps:
-                    if self.held[lane] is None:
+                    if held[lane] is None:
                         ids = next(self.docs, None) if more else None
                         if ids is None:
                             more = False
                             break
-                        self.held[lane] = (self.taken, ids, 0)
+                        held[lane] = (self.taken, ids, 0)
                         self.taken += 1
-                    number, ids, done = self.held[lane]
+                    number, ids, done = held[lane]
                     n = min(self.steps - at, len(ids) - done)
                     targets[lane, at : at + n] = ids[done : done + n]
                     doc[lane, at : at + n] = number
@@ -108,10 +109,10 @@ class Lanes:
                         inputs[lane, at + 1 : at + n] = ids[: n - 1]
                         keep[lane, at] = 0
                     at, done = at + n, done + n
-                    self.held[lane] = (number, ids, done) if done < len(ids) else None
+                    held[lane] = (number, ids, done) if done < len(ids) else None
             if (doc < 0).all():
                 return
-            yield Window(inputs.T.copy(), targets.T.copy(), keep.T[:, :, None].copy(), doc.T.copy())
+            yield Window(goes_on, inputs.T.copy(), targets.T.copy(), keep.T[:, :, None].copy(), doc.T.copy())
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -240,7 +241,7 @@ def train(flat: np.ndarray, shape: Shape, docs: Iterable[np.ndarray], lanes: int
     h, seen = np.zeros((lanes, shape.hidden), dtype=np.float32), 0
     for window in Lanes(iter(docs), lanes, steps, shape.words).windows():
         g[:] = 0
-        _, h = gradient(w, window, h, grad)
+        _, h = gradient(w, window, h[window.goes_on], grad)
         norm = float(np.sqrt(g @ g))
         if norm > 1:
             g /= norm
@@ -257,7 +258,7 @@ def score(flat: np.ndarray, shape: Shape, docs: Iterable[np.ndarray], lanes: int
     totals = np.zeros(1024)
     dealt = Lanes(iter(docs), lanes, steps, shape.words)
     for window in dealt.windows():
-        out, h, _ = states(w, window, h)
+        out, h, _ = states(w, window, h[window.goes_on])
         real = window.doc >= 0
         if dealt.taken > len(totals):
             totals = np.concatenate([totals, np.zeros(max(len(totals), dealt.taken))])

@@ -6,7 +6,7 @@ Counting, encoding, training and scoring are Spark jobs:
 2. documents are encoded once: ids of the model's vocabulary, the unigram sum over frequent
    tokens (a table of at most HEAD_TOKENS, sent to all tasks), and the rest of their tokens by
    name, which meet their counts in a join;
-3. every training document is learned once. Training runs in rounds: in each, every task
+3. every training document is learned once. Training runs in two rounds: in each, every task
    takes its share of a round's documents from the common weights, and Spark averages the
    tasks' weights, by tokens, weight by weight;
 4. all documents are scored with the final weights.
@@ -30,10 +30,10 @@ from kinloom.llm.simhash import _pieces
 from kinloom.session import Scratch
 
 HEAD_TOKENS = 1 << 18  # most frequent tokens that are sent to all tasks, at most
-ROUNDS = 4
+ROUNDS = 2
 RATE = 0.1
 LANES, STEPS = 256, 32
-SCORING_LANES = 512
+SCORING_LANES, SCORING_STEPS = 512, 64
 END = b""  # the end of a document; no word is empty
 FLUSH = 200_000  # distinct tokens a task holds before it passes its counts on
 
@@ -92,6 +92,11 @@ def _head(counts: DataFrame) -> tuple[list[tuple[bytes, int]], int]:
     return sorted(rows, key=lambda r: (-r[1], r[0])), least
 
 
+def _long_first(encoded: DataFrame) -> DataFrame:
+    """A task's longest documents first, so that its lanes end about together."""
+    return encoded.sortWithinPartitions(F.octet_length("ids").desc(), "row")
+
+
 def _average(encoded: DataFrame, flat: np.ndarray, shape: gru.Shape, round_: int) -> np.ndarray:
     """The weights after one round, averaged over tasks in proportion to the tokens they learned from."""
     sent = encoded.sparkSession.sparkContext.broadcast(flat)
@@ -104,7 +109,7 @@ def _average(encoded: DataFrame, flat: np.ndarray, shape: gru.Shape, round_: int
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(values))), pa.array(values)], names=["k", "v"])
 
     mine = ~F.col("held_out") & (F.pmod(F.xxhash64("row"), F.lit(ROUNDS)) == round_)
-    sums = encoded.filter(mine).select("ids").mapInArrow(learn, "k long, v double").groupBy("k").agg(F.sum("v").alias("v"))
+    sums = _long_first(encoded.filter(mine).select("row", "ids")).select("ids").mapInArrow(learn, "k long, v double").groupBy("k").agg(F.sum("v").alias("v"))
     rows = sums.toArrow()
     if not rows.num_rows:
         return flat
@@ -187,7 +192,7 @@ def score_documents(docs: DataFrame, shape: gru.Shape = gru.Shape()) -> DataFram
                 for x in batch.column("ids"):
                     yield np.frombuffer(x.as_py(), dtype="<u2").astype(np.int64)
 
-        found = gru.score(model.value, shape, texts(), SCORING_LANES, STEPS) / np.log(10)
+        found = gru.score(model.value, shape, texts(), SCORING_LANES, SCORING_STEPS) / np.log(10)
         at = 0
         for batch in kept:
             yield batch.append_column("neural", pa.array(found[at : at + batch.num_rows]))
@@ -196,7 +201,7 @@ def score_documents(docs: DataFrame, shape: gru.Shape = gru.Shape()) -> DataFram
     n_tokens = (F.octet_length("ids") / 2).cast("long")
     narrow = encoded.select("row", "doc_id", "held_out", "known", "base", "outside", "n_outside", n_tokens.alias("n_tokens"), "ids")
     schema = ", ".join(f"{n} {t}" for n, t in narrow.drop("ids").dtypes) + ", neural double"
-    scored = narrow.mapInArrow(score, schema).join(rest, "row", "left")
+    scored = _long_first(narrow).mapInArrow(score, schema).join(rest, "row", "left")
     base = F.col("base") + F.coalesce("rest", F.lit(0.0))
     return scored.select(
         "doc_id",
