@@ -17,7 +17,7 @@ import numpy as np
 @dataclass(frozen=True)
 class Shape:
     hidden: int = 16
-    classes: int = 32
+    classes: int = 16
     size: int = 32
 
     @property
