@@ -30,6 +30,7 @@ FEATURES = {
     "prescriptions_count": "prescriptions",
     "education_count": "qualifications",
 }
+# What the features must not contain.
 FORBIDDEN = ("age", "marital_status", "date_of_birth", "postcode", "city", "current_city", "current_postcode", "preferred_name")
 CONFLICT_FIELDS = {"date_of_birth": "date of birth", "postcode": "postcode"}
 CONTAMINATION = 0.05
@@ -262,7 +263,8 @@ def detector_metrics(scores: DataFrame, labels: DataFrame, contamination: float
     best = measured.agg(F.max_by("detector", F.struct("average_precision", "detector")).alias("best"))
     return (
         measured.withColumn("_one", F.lit(1))
-        .join(best.withColumn("_one", F.lit(1)), "_one")
+        .join(F.broadcast(best.withColumn("_one", F.lit(1))), "_one")
         .withColumn("is_best", F.col("detector") == F.col("best"))
         .drop("_one", "best")
+        .orderBy(F.desc("average_precision"), "detector")
     )

@@ -90,6 +90,7 @@ def fact_tags(linked: DataFrame, profiles: DataFrame, as_of: str | None = None)
     since = employed.groupBy(MASTER_ID).agg(F.min("record_date").alias("employed_since"))
     years = expr.whole_years(F.try_to_date("employed_since", "yyyy-MM-dd"), expr.as_date(as_of))
     text = lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])
+    # The texts of the tags.
     tags = F.array_compact(
         F.array(
             _tag(
