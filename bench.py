@@ -24,6 +24,7 @@ HEADLINE = (
     "master_ids",
     "threshold_sweep",
     "graph_summary",
+    "bridges",
     "profile_build",
     "linked_profile_build",
     "engagement_tiers",
@@ -33,8 +34,10 @@ HEADLINE = (
     "dossier_records",
     "field_agreement",
     "features",
+    "forest_scores",
     "detector_comparison",
     "generated_records",
+    "trained_link",
 )
 
 
