@@ -195,33 +195,43 @@ def log_probabilities(w: dict[str, np.ndarray], hidden: np.ndarray, targets: np.
     return out, back
 
 
-def gradient(w: dict[str, np.ndarray], window: Window, h: np.ndarray, grad: dict[str, np.ndarray]):
+def gradient(w: dict[str, np.ndarray], window: Window, h: np.ndarray, grad: dict[str, np.ndarray], full: int = 0):
     """Adds the window's gradient (loss: mean of minus the log-probabilities); returns the loss and the last state.
 
+    The mean is over `full` tokens at least: a window of few lanes weighs what it holds.
+
     The state that enters the window is taken as given: backpropagation is truncated there.
     """
     out, last, (past, gates, fresh) = states(w, window, h, trace=True)
     steps, lanes, size = out.shape
     real = (window.doc >= 0).ravel()
-    scale = real.astype(np.float32) / max(1, real.sum())
+    scale = real.astype(np.float32) / max(1, full, real.sum())
     logp, back = log_probabilities(w, out.reshape(-1, size), window.targets.ravel(), grad, scale)
     back = back.reshape(steps, lanes, size)
     delta = np.empty((steps, lanes, 3 * size), dtype=np.float32)
-    carried = np.zeros((lanes, size), dtype=np.float32)
+    carried = np.zeros((lanes, size), dtype=delta.dtype)
+    resets = window.keep.min(axis=(1, 2)) < 1
     gates_t, update_t = w["gates"].T.copy(), w["update"].T.copy()
+    # What multiplies the gradient of a state on its way to each gate, for all steps at once.
+    z, r = gates[:, :, :size], gates[:, :, size:]
+    stays = 1 - z
+    to_new = z * (1 - fresh * fresh)
+    to_z = (fresh - past) * z * stays
+    to_r = past * r * (1 - r)
     for t in range(steps - 1, -1, -1):
-        h, z, r, n = past[t], gates[t, :, :size], gates[t, :, size:], fresh[t]
-        dh = back[t] + carried
-        dn = dh * z
-        dn *= 1 - n * n
-        dz = dh * (n - h)
-        dz *= z * (1 - z)
+        dh = carried
+        dh += back[t]
+        dn = np.multiply(dh, to_new[t], out=delta[t, :, 2 * size :])
+        np.multiply(dh, to_z[t], out=delta[t, :, :size])
         drh = dn @ update_t
-        dr = drh * h
-        dr *= r * (1 - r)
-        delta[t, :, :size], delta[t, :, size : 2 * size], delta[t, :, 2 * size :] = dz, dr, dn
-        carried = dh * (1 - z) + drh * r + delta[t, :, : 2 * size] @ gates_t
-        carried *= window.keep[t]
+        np.multiply(drh, to_r[t], out=delta[t, :, size : 2 * size])
+        carried = delta[t, :, : 2 * size] @ gates_t
+        drh *= r[t]
+        carried += drh
+        dh *= stays[t]
+        carried += dh
+        if resets[t]:
+            carried *= window.keep[t]
     flat = delta.reshape(-1, 3 * size)
     grad["gates"] += past.reshape(-1, size).T @ flat[:, : 2 * size]
     grad["update"] += (gates[:, :, size:] * past).reshape(-1, size).T @ flat[:, 2 * size :]
@@ -241,7 +251,7 @@ def train(flat: np.ndarray, shape: Shape, docs: Iterable[np.ndarray], lanes: int
     h, seen = np.zeros((lanes, shape.hidden), dtype=np.float32), 0
     for window in Lanes(iter(docs), lanes, steps, shape.words).windows():
         g[:] = 0
-        _, h = gradient(w, window, h[window.goes_on], grad)
+        _, h = gradient(w, window, h[window.goes_on], grad, lanes * steps)
         norm = float(np.sqrt(g @ g))
         if norm > 1:
             g /= norm

@@ -19,6 +19,7 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -31,7 +32,7 @@ from kinloom.session import Scratch
 
 HEAD_TOKENS = 1 << 18  # most frequent tokens that are sent to all tasks, at most
 ROUNDS = 2
-RATE = 0.1
+RATE = 0.05
 LANES, STEPS = 256, 32
 SCORING_LANES, SCORING_STEPS = 512, 64
 END = b""  # the end of a document; no word is empty
@@ -138,24 +139,29 @@ def score_documents(docs: DataFrame, shape: gru.Shape = gru.Shape()) -> DataFram
     frequency[0] = total - inside
     frequency[1 : len(words) + 1] = [c for _, c in head[: shape.words - 1]]
     others = np.log10(below) - np.log10(total - inside + 0.1 * (distinct - len(words) + 1))
-    table = {t: (k + 1 if k < len(words) else 0, float(np.log10((c + 0.1) / below))) for k, (t, c) in enumerate(head)}
-    sent = spark.sparkContext.broadcast(table)
+    # By rank in the head: the id in the vocabulary, and the unigram share. The last entry is for all other tokens.
+    ids_of = np.zeros(len(head) + 1, dtype="<u2")
+    ids_of[: len(words)] = np.arange(1, len(words) + 1)
+    share_of = np.append(np.log10((np.array([c for _, c in head], dtype=float) + 0.1) / below), 0.0)
+    sent = spark.sparkContext.broadcast(({t: k for k, (t, _) in enumerate(head)}, ids_of, share_of))
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = sent.value
+        ranks, ids_of, share_of = sent.value
+        rank = ranks.get
         for batch in batches:
             rows = []
             for text in batch.column(0):
-                ids, tail, known, base, outside = [], [], 0, 0.0, 0.0
-                n_outside = 0
+                ids, tail, known, base, outside, n_outside = [], [], 0, 0.0, 0.0, 0
                 for words in (*_pieces(text.as_py().lower()), [END]):
-                    found = [table.get(w) for w in words]
-                    ids.append(np.fromiter((f[0] if f else 0 for f in found), dtype="<u2", count=len(found)))
-                    tail += [w for w, f in zip(words, found) if f is None]
-                    known += len(found) - found.count(None)
-                    base += sum(f[1] for f in found if f)
-                    outside += sum(f[1] for f in found if f and not f[0])
-                    n_outside += len(found) - np.count_nonzero(ids[-1])
+                    found = np.fromiter(map(rank, words, repeat(-1)), dtype=np.int64, count=len(words))
+                    ids.append(ids_of[found])
+                    rare = np.flatnonzero(found < 0)
+                    tail += [words[k] for k in rare]
+                    known += len(words) - len(rare)
+                    base += float(share_of[found].sum())
+                    strange = found[ids[-1] == 0]
+                    outside += float(share_of[strange].sum())
+                    n_outside += len(strange)
                 rows.append((b"".join(i.tobytes() for i in ids), tail, known, base, outside, n_outside))
             columns = list(zip(*rows)) if rows else [[]] * 6
             types = [pa.binary(), pa.list_(pa.binary()), pa.int64(), pa.float64(), pa.float64(), pa.int64()]
