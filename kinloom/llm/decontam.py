@@ -9,8 +9,10 @@ below the threshold cannot lift an item over it alone; the others (the pivot and
 the blocks that can hold a hit. A block is scored only if the largest weights of its terms
 in that block, plus what the skipped terms can add, reach the threshold. Hits are exact.
 
-A hit counts if the passage also repeats the item's question and its answer: of either, at
-least `overlap` of the words appear in the same order.
+A hit counts if the passage also repeats the item's question and its answer close together:
+of either, at least `overlap` of the words appear in the same order in one window of about
+twice the item's own length, however long the passage is. An item of fewer than FEW words has
+to appear word for word without gaps, and a single word only counts as a text of its own.
 
 Documents are never moved: the index goes to them, in blocks of items of bounded size.
 """
@@ -29,6 +31,7 @@ from pyspark.sql import functions as F
 K1, B = 1.2, 0.75
 THRESHOLD = 0.6
 OVERLAP = 0.8
+FEW = 4  # words below which an item counts only word for word
 BLOCK = 8  # postings that share one bound
 TOGETHER = 50_000  # words of texts that are looked up in one go
 INDEX_BYTES = 32 << 20  # text of the items that one index, sent to all executors, may hold
@@ -62,6 +65,26 @@ def common_words(a: list[str], b: list[str]) -> int:
     return len(a) - row.bit_count()
 
 
+def repeats(question: list[str], answer: list[str], inside: list[str], overlap: float) -> tuple[float, float] | None:
+    """Shares of question and answer in the window that repeats both best; None if none repeats `overlap` of each."""
+
+    def shares(part: list[str]) -> tuple[float, float]:
+        return tuple(common_words(x, part) / len(x) if x else 1.0 for x in (question, answer))
+
+    item = question + answer
+    n = len(item)
+    if n == 1:
+        return (1.0, 1.0) if inside == item else None
+    if n < FEW:
+        return (1.0, 1.0) if any(inside[k : k + n] == item for k in range(len(inside) - n + 1)) else None
+    best = shares(inside)
+    if min(best) < overlap or len(inside) <= 2 * n:
+        return best if min(best) >= overlap else None
+    step = max(1, n // 4)
+    best = max((shares(inside[k : k + 2 * n]) for k in range(0, len(inside) - 2 * n + step, step)), key=min)
+    return best if min(best) >= overlap else None
+
+
 @dataclass
 class Index:
     """Terms are numbered by rising bound. Postings of term t: begin[t] to begin[t + 1], by item."""
@@ -165,7 +188,7 @@ class Index:
         """Per text: (item id, first word of the passage, score, question overlap, answer overlap), the best passage per item.
 
         Passages are twice as long as the longest item and overlap by half, so each copy of
-        an item lies whole in one of them. Texts are looked up together, TOGETHER words at a time.
+        an item lies whole in one of them; `repeats` then looks at windows of the item's own size. Texts are looked up together, TOGETHER words at a time.
         """
         held: list[list[str]] = []
         words = 0
@@ -197,10 +220,10 @@ class Index:
             start = int(p - first[t]) * self.window
             inside = texts[t][start : start + 2 * self.window]
             question, answer = self.parts[k]
-            q = common_words(question, inside) / len(question) if question else 1.0
-            a = common_words(answer, inside) / len(answer) if answer else 1.0
-            if min(q, a) >= overlap:
-                row = (self.ids[k], start, float(score), q, a)
+            # A single word is compared with all of a text.
+            told = repeats(question, answer, texts[t] if len(question) + len(answer) == 1 else inside, overlap)
+            if told:
+                row = (self.ids[k], start, float(score), *told)
                 if k not in best[t] or (row[2], -row[1]) > (best[t][k][2], -best[t][k][1]):
                     best[t][k] = row
         return [[found[k] for k in sorted(found)] for found in best]

@@ -148,6 +148,30 @@ def test_question_and_answer_are_both_needed(spark):
     assert decontam.contaminated(docs, none).count() == 0 and decontam.drop_contaminated(docs, none).count() == 6
 
 
+def test_a_long_item_does_not_loosen_the_check_of_a_short_one(spark):
+    short = [f"s{i}" for i in range(15)]
+    items = spark.createDataFrame([(1, " ".join(f"long{i}" for i in range(2000))), (2, " ".join(short))], "item_id long, text string")
+    filler = [f"fill{i}" for i in range(2500)]
+    apart = [w for k, s in enumerate(short) for w in (s, *filler[k * 40 : k * 40 + 40])]
+    docs = spark.createDataFrame(
+        [
+            (1, " ".join(apart)),  # its words in order, 40 others between any two
+            (2, " ".join([*filler[:777], *short, *filler[777:]])),
+            (3, " ".join([*filler[:777], *[w for s in short for w in (s, "x")][:22], *short[11:], *filler[777:]])),  # a few words between
+        ],
+        "doc_id long, text string",
+    )
+    assert {(r.doc_id, r.item_id) for r in decontam.contaminated(docs, items).collect()} == {(2, 2), (3, 2)}
+    assert {r.doc_id for r in decontam.drop_contaminated(docs, items).collect()} == {1}
+
+
+def test_items_of_few_words_count_word_for_word(spark):
+    items = spark.createDataFrame([(1, "quartz"), (2, "blue copper kettle")], "item_id long, text string")
+    rows = [(1, "a vein of quartz in the rock"), (2, "Quartz!"), (3, "the blue copper kettle sang"), (4, "a blue and copper kettle sang")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {(r.doc_id, r.item_id) for r in decontam.contaminated(docs, items).collect()} == {(2, 1), (3, 2)}
+
+
 def test_common_words():
     assert decontam.common_words("a b c d".split(), "x a y c d b".split()) == 3
     assert decontam.common_words([], ["a"]) == 0 == decontam.common_words(["a"], [])
