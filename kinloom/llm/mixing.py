@@ -89,11 +89,20 @@ def mix(
     Null and empty texts weigh one token. Repeated rows are each shown; null ids pass through.
     A row is shown in the last pass if it starts before the budget is used up.
     """
+    twin = F.monotonically_increasing_id()
+    return _mix(docs, twin, max_repeats, entropy, budget, block_tokens, seed).drop("_twin")
+
+
+def _mix(
+    docs: DataFrame, twin: Column, max_repeats: float | None = MAX_REPEATS, entropy: float | None = None, budget: int | None = None,
+    block_tokens: int = BLOCK_TOKENS, seed: int = 9,
+) -> DataFrame:
+    """`mix` with the column `_twin`, which tells all rows of `docs` apart."""
     scratch = Scratch(docs.sparkSession, "mixing")
     narrow = scratch.put(
         docs.select(
-            "doc_id", text_key(F.col("text")).alias("key"), F.col("source"), n_tokens(F.col("text")).alias("tokens")
-        ).withColumn("_twin", F.monotonically_increasing_id()),
+            "doc_id", text_key(F.col("text")).alias("key"), F.col("source"), n_tokens(F.col("text")).alias("tokens"), twin.alias("_twin")
+        ),
         "narrow",
     )
     totals = scratch.put(narrow.groupBy("source").agg(F.sum("tokens").alias("tokens")), "totals")
@@ -101,7 +110,7 @@ def mix(
     if not all_tokens:
         return narrow.select(
             "doc_id", "key", "source", "tokens", F.lit(0).alias("pass"), F.lit(0.0).alias("weight"),
-            F.lit(0).cast("long").alias("block"), F.lit(0).cast("long").alias("slot"),
+            F.lit(0).cast("long").alias("block"), F.lit(0).cast("long").alias("slot"), "_twin",
         )
     a = temperature(totals, all_tokens, max_repeats, entropy, budget)
     share = F.col("tokens") / F.lit(float(all_tokens))
@@ -132,17 +141,15 @@ def mix(
         F.least(F.floor(position * n_blocks), F.lit(n_blocks - 1)).cast("long").alias("block"),
         F.xxhash64("_draw", F.lit(seed + 1)).alias("_order"), "_twin",
     )
-    return running_total(scratch, shown, ("block",), ("_order", "doc_id", "key", "_twin", "pass"), None, "slot").drop("_order", "_twin")
+    return running_total(scratch, shown, ("block",), ("_order", "doc_id", "key", "_twin", "pass"), None, "slot").drop("_order")
 
 
 def mixed(docs: DataFrame, **options) -> DataFrame:
     """The rows of `docs` as often as the mix shows them, columns unchanged, stored in the order of blocks and slots."""
     scratch = Scratch(docs.sparkSession, "mixed")
-    shown = mix(docs, **options).select(F.struct("doc_id", "key").alias("__mix_row"), "block", "slot")
-    # A row that repeats another is in the mix in its own right: one list of places for both, kept with one of them.
-    places = shown.groupBy("__mix_row").agg(F.sort_array(F.collect_list(F.struct("block", "slot"))).alias("__mix_places"))
-    places = scratch.put(places, "places")
-    keyed = docs.withColumn("__mix_row", F.struct("doc_id", text_key(F.col("text")).alias("key")))
-    once = keyed.dropDuplicates(["__mix_row"])
-    placed = once.join(places, "__mix_row").withColumn("__mix_at", F.explode("__mix_places"))
+    # Written once, so that a row's id is a fact on disk.
+    rows = scratch.put(docs.withColumn("__mix_row", F.monotonically_increasing_id()), "rows", "zstd")
+    shown = _mix(rows, F.col("__mix_row"), **options)
+    places = scratch.put(shown.select(F.col("_twin").alias("__mix_row"), F.struct("block", "slot").alias("__mix_at")), "places")
+    placed = rows.join(places, "__mix_row")
     return placed.repartitionByRange("__mix_at").sortWithinPartitions("__mix_at").select(*docs.columns)

@@ -315,6 +315,13 @@ def test_mix_of_odd_rows(spark):
     assert mixing.mixed(empty_documents(spark)).count() == 0 == mixing.mix(empty_documents(spark)).count()
 
 
+def test_rows_of_equal_id_and_text_keep_their_own_columns(spark):
+    source = F.when(F.col("id") % 3 == 0, "x").when(F.col("id") % 3 == 1, "y").otherwise("z")
+    docs = spark.range(90).select(F.lit(None).cast("long").alias("doc_id"), F.lit("one text").alias("text"), source.alias("source"), F.col("id").alias("extra"))
+    shown = collections.Counter((r.source, r.extra) for r in mixing.mixed(docs).collect())
+    assert shown == collections.Counter((r.source, r.extra) for r in docs.collect())
+
+
 # --- personal data
 
 
