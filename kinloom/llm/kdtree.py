@@ -49,6 +49,7 @@ TIES = ("__kd_t0", "__kd_t1", "__kd_t2")
 def build(docs: DataFrame, leaves: int | None = None, target_bytes: int | None = None) -> list[list[tuple]]:
     """Splits by level: (node, dimension, value, three ties, leaves of the left child, leaves of the right child).
 
+    With `target_bytes` there are as many leaves as reach it, and at least `leaves`; without it exactly `leaves`.
     A row goes right if its (value, ties) is larger. Nodes are numbered by their first leaf.
     """
     scratch = Scratch(docs.sparkSession, "kdtree")
@@ -65,7 +66,7 @@ def build(docs: DataFrame, leaves: int | None = None, target_bytes: int | None =
     if not whole.bytes:
         return []
     ranges = {d: max(1, whole[d][1] - whole[d][0]) for d in dims}
-    open_nodes = {0: leaves or max(1, math.ceil(whole.bytes / target_bytes))}
+    open_nodes = {0: max(leaves or 1, math.ceil(whole.bytes / target_bytes) if target_bytes else 1)}
     levels = []
     while any(n > 1 for n in open_nodes.values()):
         found = nodes.groupBy("node").agg(F.sum("size").alias("bytes"), *[s.alias(d) for s, d in zip(spans, dims)]).collect()
@@ -140,6 +141,9 @@ def shard_rows(docs: DataFrame, shards: int = 8) -> DataFrame:
 
 
 def sharded(docs: DataFrame, shards: int | None = None, target_bytes: int = 1 << 28) -> DataFrame:
-    """`docs` with a column `shard`, rows of a shard stored together; a column of that name is replaced."""
+    """`docs` with a column `shard`, rows of a shard stored together; a column of that name is replaced.
+
+    Shards hold about `target_bytes` at most; there are at least `shards` of them.
+    """
     out = assign(docs, build(docs, shards, target_bytes))
     return out.repartitionByRange("shard", "doc_id").sortWithinPartitions("shard", "doc_id")

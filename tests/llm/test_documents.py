@@ -266,6 +266,13 @@ def test_leaves_reach_the_target(spark, docs):
     assert len(sizes) in (5, 6) and max(sizes) < 1.5 * total / 5
 
 
+def test_leaves_reach_the_target_beyond_the_least_number(spark, docs):
+    total = sum(r["size"] for r in kdtree.shard_rows(docs).collect())
+    out = kdtree.sharded(docs, shards=2, target_bytes=total // 5)
+    sizes = [r.b for r in out.groupBy("shard").agg(F.sum(F.octet_length("text") + 1).alias("b")).collect()]
+    assert len(sizes) in (5, 6) and max(sizes) < 1.5 * total / 5
+
+
 def test_shards_of_odd_rows(spark):
     odd = odd_documents(spark)
     got = kdtree.shard_rows(odd).collect()
