@@ -7,7 +7,8 @@ number stays (in)valid by its check digit; an address of the net stays one.
 
 Surrogates are checked over the whole corpus: if two entities would share one, or one equals
 an entity that occurs, all but the smallest try again with the next draw. Short formats that
-run out of room get longer ones after GROW draws.
+run out of room get longer ones after GROW draws: letters or digits more with every draw (parts
+of an ip first lose their number of digits, and from 2 * GROW draws on a part is added).
 
 All of it is column expressions and joins of narrow rows; texts without entities pass by.
 """
@@ -95,9 +96,9 @@ def _card(entity: Column, seed: Column) -> Column:
     return F.get(F.transform(F.array(drawn), lambda body: F.concat(body, check(body).cast("string"))), 0)
 
 
-def _ip(entity: Column, seed: Column) -> Column:
-    """Each part drawn among those with as many digits."""
-    part = lambda p, i: F.when(F.length(p) == 1, _draw(seed, i, 9) + 1).when(F.length(p) == 2, _draw(seed, i, 90) + 10).otherwise(_draw(seed, i, 156) + 100)
+def _ip(entity: Column, seed: Column, any_size: Column) -> Column:
+    """Each part drawn among those with as many digits, or among all."""
+    part = lambda p, i: F.when(any_size, _draw(seed, i, 256)).when(F.length(p) == 1, _draw(seed, i, 9) + 1).when(F.length(p) == 2, _draw(seed, i, 90) + 10).otherwise(_draw(seed, i, 156) + 100)
     return F.array_join(F.transform(F.split(entity, r"\."), lambda p, i: part(p, i).cast("string")), ".")
 
 
@@ -118,6 +119,7 @@ def surrogate(kind: Column, entity: Column, key: str, draw: Column) -> Column:
     """The replacement of an entity in its `draw`-th draw."""
     seed = F.sha2(F.concat_ws("\0", F.lit(key), kind, entity, draw.cast("string")).cast("binary"), 256)
     longer = F.when(draw >= GROW, _shuffled_text(F.repeat(F.lit("x"), F.least(draw - GROW + 1, F.lit(20))), seed)).otherwise("")
+    zeros = lambda since: F.when(draw >= since, F.repeat(F.lit("0"), F.least(draw - since + 1, F.lit(20)))).otherwise("")
     local, domain = F.regexp_extract(entity, "^([^@]*)@", 1), F.regexp_extract(entity, "@(.*)$", 1)
     # A domain reads the same in every address of it; its last part stays.
     of_domain = F.sha2(F.concat_ws("\0", F.lit(key), F.lit("domain"), domain).cast("binary"), 256)
@@ -126,9 +128,12 @@ def surrogate(kind: Column, entity: Column, key: str, draw: Column) -> Column:
     prefix = F.regexp_extract(entity, r"^(\+\d{1,3})?", 0)
     return (
         F.when(kind == "email", F.concat(_shuffled_text(local, seed), longer, F.lit("@"), host))
-        .when(kind == "ip", _ip(entity, seed))
-        .when(kind == "card", _card(entity, seed))
-        .when(kind == "phone", F.concat(prefix, _shuffled_text(F.substring(entity, F.length(prefix) + 1, F.length(entity)), seed)))
+        .when(
+            kind == "ip",
+            F.concat(_ip(entity, seed, draw >= GROW), F.when(draw >= 2 * GROW, F.concat(F.lit("."), _shuffled_text(zeros(2 * GROW), seed))).otherwise("")),
+        )
+        .when(kind == "card", _card(F.concat(zeros(GROW), entity), seed))
+        .when(kind == "phone", F.concat(prefix, _shuffled_text(F.concat(F.substring(entity, F.length(prefix) + 1, F.length(entity)), zeros(GROW)), seed)))
         .otherwise(F.concat(title, F.lit(" "), _name(title, names, seed), longer))
     )
 

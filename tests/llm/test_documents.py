@@ -12,6 +12,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from kinloom.llm import decontam, kdtree, lm, mixing, pii, quality, secrets, simhash
+from kinloom.session import Scratch
 from tests.llm.helpers import LONG, PROSE, empty_documents, odd_documents
 
 FOLDER = "/root/testdata/sf0.001"
@@ -360,6 +361,26 @@ def test_surrogates_stay_distinct_where_room_is_scarce(spark):
     assert len(set(got)) == 26 and not any(re.fullmatch(r"[a-z]@q\.com", t) for t in got)
 
 
+def test_dense_short_formats_find_surrogates(spark):
+    """All 10,000 one-digit quads: more than the quads of the same lengths that can be drawn."""
+    quad = lambda n: F.format_string("%d.%d.%d.%d", *[(F.floor(F.col("id") / 10**k) % 10).cast("int") for k in range(n)])
+    entities = spark.range(10_000).select(F.lit("ip").alias("kind"), quad(4).alias("entity"))
+    got = pii.surrogates(entities, "k", Scratch(spark, "dense")).collect()
+    made = {r.surrogate for r in got}
+    assert len(got) == len(made) == 10_000 and not made & {r.entity for r in got}
+
+
+@pytest.mark.parametrize(("kind", "entity"), [("ip", "4.0.1.0"), ("card", "4111 1111 1111 1111"), ("phone", "+1 555-123-4567")])
+def test_late_draws_are_wider(spark, kind, entity):
+    draws = spark.range(pii.MAX_DRAWS).select(pii.surrogate(F.lit(kind), F.lit(entity), "k", F.col("id").cast("int")).alias("s"), "id").collect()
+    size = lambda s: len(re.sub(r"\D", "", s))
+    assert all(size(r.s) == size(entity) for r in draws if r.id < pii.GROW) and size(draws[-1].s) > size(entity) + 10
+    if kind == "card":
+        for r in draws:
+            digits = [int(d) for d in re.sub(r"\D", "", r.s)][::-1]
+            assert sum(sum(divmod(2 * d, 10)) if k % 2 else d for k, d in enumerate(digits)) % 10 == 0
+
+
 def test_surrogates_of_odd_rows(spark):
     odd = odd_documents(spark)
     out = pii.replace(odd, "k")
