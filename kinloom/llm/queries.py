@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from kinloom.llm import decontam, kdtree, lm, mixing, pii, quality, secrets, simhash, urls, warc
+from kinloom.llm import collocations, decontam, infill, kdtree, lm, mixing, pii, quality, secrets, simhash, urls, warc
 from kinloom.sources.tables import read_table
 
 SURROGATE_KEY = "registered query"  # a job passes its own secret
@@ -68,3 +68,13 @@ def op8_seekable_warc(spark, sf):
 @query
 def op10_url_trees(spark, sf):
     return urls.filter_urls(read_table(spark, sf, "pages"))
+
+
+@query
+def op11_collocations(spark, sf):
+    return collocations.collocations(read_table(spark, sf, "documents"))
+
+
+@query
+def op12_infill(spark, sf):
+    return infill.digests(read_table(spark, sf, "documents"))
