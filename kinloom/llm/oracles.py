@@ -42,7 +42,8 @@ _COLLOCATIONS = rf"""WITH d AS (SELECT row_number() OVER () AS r, coalesce(lang,
   translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
 p AS (SELECT r, lang, unnest(range(len(l))) AS k, unnest(l) AS piece
   FROM (SELECT r, lang, string_split_regex(t, '[.,;:!?
-]') AS l FROM d)),
+
+]') AS l FROM d)),
 w AS (SELECT r, lang, k, unnest(range(len(l))) AS i, unnest(l) AS w
   FROM (SELECT r, lang, k, [x FOR x IN string_split_regex(piece, '[ 	]+') IF x <> ''] AS l FROM p)),
 s AS (SELECT lang, w, {_GRAMS} FROM w WINDOW o AS (PARTITION BY r, k ORDER BY i)),
@@ -78,9 +79,20 @@ SELECT doc_id, CAST(n AS BIGINT) AS n, form, CASE WHEN form <> 'plain' THEN leng
   sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m
     ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256, sha256(t) AS restored_sha256 FROM y"""
 
+# All pairs; the search has to lose none at this size.
+_FLAT_GRAPH = """WITH RECURSIVE e AS (SELECT row_number() OVER () AS r, vec_id, CAST(embedding AS DOUBLE[]) AS x FROM embeddings),
+v AS (SELECT * FROM e WHERE list_bool_and([coalesce(isfinite(c), false) FOR c IN x]) AND list_bool_or([c <> 0 FOR c IN x])),
+pair AS MATERIALIZED (SELECT a.r AS a, b.r AS b FROM v a JOIN v b ON a.r <> b.r AND list_cosine_similarity(a.x, b.x) >= 0.9),
+reach AS (SELECT r, r AS other FROM e UNION SELECT reach.r, pair.b FROM reach JOIN pair ON pair.a = reach.other),
+least AS (SELECT reach.r, min(e.vec_id) AS component_id FROM reach JOIN e ON e.r = reach.other GROUP BY reach.r),
+n AS (SELECT a AS r, count(*) AS n FROM pair GROUP BY a)
+SELECT vec_id, coalesce(n, 0) AS n_links, component_id, vec_id = component_id AS kept
+FROM e JOIN least USING (r) LEFT JOIN n USING (r)"""
+
 ORACLES: dict[str, str] = {
     "op4_quality_cascade": _QUALITY,
     "op8_seekable_warc": _WARC,
     "op11_collocations": _COLLOCATIONS,
     "op12_infill": _INFILL,
+    "op13_flat_graph": _FLAT_GRAPH,
 }

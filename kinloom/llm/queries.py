@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from kinloom.llm import collocations, decontam, infill, kdtree, lm, mixing, pii, quality, secrets, simhash, urls, warc
+from kinloom.llm import collocations, decontam, flatgraph, infill, kdtree, lm, mixing, pii, quality, secrets, simhash, urls, warc
 from kinloom.sources.tables import read_table
 
 SURROGATE_KEY = "registered query"  # a job passes its own secret
@@ -78,3 +78,8 @@ def op11_collocations(spark, sf):
 @query
 def op12_infill(spark, sf):
     return infill.digests(read_table(spark, sf, "documents"))
+
+
+@query
+def op13_flat_graph(spark, sf):
+    return flatgraph.near_duplicates(read_table(spark, sf, "embeddings"))

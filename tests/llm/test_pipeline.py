@@ -55,6 +55,6 @@ def test_stages_take_odd_tables(spark, docs):
 @pytest.mark.parametrize("name", sorted(QUERIES))
 def test_queries_cover_their_tables(spark, name):
     rows = QUERIES[name](spark, FOLDER)
-    table = "pages" if name.startswith(("op8", "op10")) else "documents"
-    if not name.startswith(("op3", "op9")):
+    table = "pages" if name.startswith(("op8", "op10_")) else "embeddings" if name.startswith("op13") else "documents"
+    if not name.startswith(("op3", "op9", "op11")):
         assert rows.count() == spark.read.parquet(f"{FOLDER}/{table}.parquet").count()
