@@ -5,10 +5,11 @@ Every word of a piece starts one gram: the longest, of up to LONGEST words, that
 holds. Counted over the corpus these are the edges and, shorter ones, the corrections for the ends
 of pieces. All other counts are flow: a phrase occurs as often as the grams that it begins.
 
-1. Solid pairs. No phrase of `min_count` occurrences holds a rarer pair of words. Pairs are counted
-   by their hash, those that are frequent enough go to a bitmap of bounded size, and pieces end at
-   pairs outside it. A hash that two pairs share, or a full bitmap, only lets more pairs through.
-2. Grams. What is left is counted by its words, so all counts from here on are exact.
+1. Solid phrases. No phrase of `min_count` occurrences holds a rarer one. From two words up to a node,
+   phrases of solid ones are counted by their hash, and those that are frequent enough go to a bitmap
+   of bounded size. A hash that two phrases share, or a full bitmap, only lets more phrases through.
+2. Grams. A gram also ends where it would hold a phrase that is not solid. What is left is counted by
+   its words, so all counts from here on are exact.
 3. Flow. Prefix by prefix, the counts of ever shorter phrases; those below `min_count` go.
 4. Paths. Where all occurrences of a node come over one edge and leave over one edge, the edges are
    joined; such a unary path is found by pointer doubling in a number of rounds logarithmic in its length.
@@ -45,7 +46,7 @@ PART_OF = 80
 BUFFER = 1 << 21  # words a task holds
 SLICE = 1 << 20  # bytes of a text split at a time
 BITMAP_BITS = 28  # the bitmap has at most two to this power bits, 32 MB
-BITMAP_LOAD = 16  # and otherwise at least so many for each pair
+BITMAP_LOAD = 16  # and otherwise at least so many for each phrase
 CHUNK_BITS = 15  # a chunk of Spark's bitmap functions
 
 _PLAIN = bytes.maketrans(ENDS + b"\tABCDEFGHIJKLMNOPQRSTUVWXYZ", b"." * len(ENDS) + b" abcdefghijklmnopqrstuvwxyz")
@@ -108,14 +109,26 @@ def _buffers(batches: Iterator[pa.RecordBatch], longest: int) -> Iterator[tuple[
         yield flush()
 
 
-def _pairs(words: list[bytes], numbers: np.ndarray, langs: list[str], of: np.ndarray) -> np.ndarray:
-    """A hash of the pair of words that begins at each number but the last; meaningless where a piece ends."""
-    hashed = np.fromiter((xxhash.xxh64_intdigest(w, 11) for w in words), dtype=np.uint64, count=len(words))
+def _solid(
+    words: list[bytes], numbers: np.ndarray, langs: list[str], of: np.ndarray, maps: list[np.ndarray], longest: int
+) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(hash, solid) of the phrases of two, three ... words that begin at each number.
+
+    A phrase is solid if it lies in one piece, the phrases in it are solid and its bit is set;
+    the phrases one word longer than those of the last map are the last, and need no bit.
+    """
+    hashed = np.fromiter((xxhash.xxh64_intdigest(w, 11) for w in words), dtype=np.uint64, count=len(words))[numbers]
     lang = np.fromiter((xxhash.xxh64_intdigest(x.encode(), 12) for x in langs), dtype=np.uint64, count=len(langs))
-    key = (hashed[numbers[:-1]] ^ lang[of[:-1]]) * _ODD
-    key ^= key >> np.uint64(31)
-    key = (key + hashed[numbers[1:]]) * _ODD2
-    return key ^ key >> np.uint64(29)
+    key, solid = hashed ^ lang[of], numbers > 0
+    for size in range(2, min(len(maps) + 2, longest) + 1):
+        key = key[:-1] * _ODD
+        key ^= key >> np.uint64(31)
+        key = (key + hashed[size - 1 :]) * _ODD2
+        key ^= key >> np.uint64(29)
+        solid = solid[:-1] & solid[1:]
+        if size - 2 < len(maps):
+            solid &= _bits(key, maps[size - 2])
+        yield key, solid
 
 
 def _read(docs: DataFrame) -> DataFrame:
@@ -125,29 +138,37 @@ def _read(docs: DataFrame) -> DataFrame:
     )
 
 
-def solid_pairs(docs: DataFrame, min_count: int, scratch: Scratch, longest: int = LONGEST) -> DataFrame:
-    """(pair): hashes of the pairs of words that occur `min_count` times in a language, and by chance a few others."""
+def solid_phrases(docs: DataFrame, maps: Broadcast, min_count: int, longest: int = LONGEST) -> DataFrame:
+    """(phrase): hashes of the phrases one word longer than those of the last map that occur `min_count` times, by chance a few others."""
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for words, numbers, langs, lang in _buffers(batches, longest):
-            key = _pairs(words, numbers, langs, lang)
-            key = key[: len(numbers) - longest + 1]
-            within = (numbers[: len(key)] > 0) & (numbers[1 : len(key) + 1] > 0)
-            found, count = np.unique(key[within], return_counts=True)
+            *_, (key, solid) = _solid(words, numbers, langs, lang, maps.value, longest)
+            starts = len(numbers) - longest + 1
+            found, count = np.unique(key[:starts][solid[:starts]], return_counts=True)
             for start in range(0, len(found), 100_000):
                 part = slice(start, start + 100_000)
-                yield pa.RecordBatch.from_arrays([pa.array(found[part].view(np.int64)), pa.array(count[part])], names=["pair", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array(found[part].view(np.int64)), pa.array(count[part])], names=["phrase", "n"])
+
+    counted = _read(docs).mapInArrow(of, "phrase long, n long").groupBy("phrase").agg(F.sum("n").alias("n"))
+    return counted.filter(F.col("n") >= min_count).select("phrase")
 
-    counted = _read(docs).mapInArrow(of, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n"))
-    return scratch.put(counted.filter(F.col("n") >= min_count).select("pair"), "pairs")
 
+def solid_maps(docs: DataFrame, min_count: int, scratch: Scratch, longest: int = LONGEST, bits: int = BITMAP_BITS) -> Broadcast:
+    """The bitmaps of solid phrases of two words, three, and so on up to a node."""
+    context, maps = docs.sparkSession.sparkContext, []
+    for size in range(2, max(longest, 3)):
+        sent = context.broadcast(maps)
+        maps = [*maps, bitmap(scratch.put(solid_phrases(docs, sent, min_count, longest), f"solid{size}"), bits)]
+    return context.broadcast(maps)
 
-def bitmap(pairs: DataFrame, bits: int = BITMAP_BITS) -> np.ndarray:
+
+def bitmap(phrases: DataFrame, bits: int = BITMAP_BITS) -> np.ndarray:
     """The bytes of a bitmap of the hashes' highest bits, at most two to the power `bits` of them."""
-    wanted = pairs.count() * BITMAP_LOAD
+    wanted = phrases.count() * BITMAP_LOAD
     bits = min(max(wanted.bit_length(), CHUNK_BITS), bits)
-    place = F.shiftrightunsigned("pair", 64 - bits)
-    chunks = pairs.groupBy(F.shiftright(place, CHUNK_BITS).alias("chunk")).agg(
+    place = F.shiftrightunsigned("phrase", 64 - bits)
+    chunks = phrases.groupBy(F.shiftright(place, CHUNK_BITS).alias("chunk")).agg(
         F.bitmap_construct_agg(place.bitwiseAND(F.lit((1 << CHUNK_BITS) - 1))).alias("bits")
     )
     found = np.zeros(1 << (bits - 3), dtype=np.uint8)
@@ -157,29 +178,26 @@ def bitmap(pairs: DataFrame, bits: int = BITMAP_BITS) -> np.ndarray:
     return found
 
 
-def _solid(keys: np.ndarray, found: np.ndarray) -> np.ndarray:
+def _bits(keys: np.ndarray, found: np.ndarray) -> np.ndarray:
     bits = len(found).bit_length() + 2
     place = (keys >> np.uint64(64 - bits)).astype(np.int64)
     return (found[place >> 3] >> (place & 7).astype(np.uint8) & 1).astype(bool)
 
 
-def grams(docs: DataFrame, solid: Broadcast, longest: int = LONGEST) -> DataFrame:
-    """(lang, words, size, n): the longest gram that begins at each word, counted; pieces end at pairs that are not solid."""
+def grams(docs: DataFrame, maps: Broadcast, longest: int = LONGEST) -> DataFrame:
+    """(lang, words, size, n): the longest solid gram that begins at each word, counted."""
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for words, numbers, langs, lang in _buffers(batches, longest):
-            key = _pairs(words, numbers, langs, lang)
-            linked = (numbers[:-1] > 0) & (numbers[1:] > 0) & _solid(key, solid.value)
             starts = np.flatnonzero(numbers[: len(numbers) - longest + 1])
-            going, gram = np.ones(len(starts), dtype=bool), lang[starts]
-            columns = []
+            going = [solid[starts] for _, solid in _solid(words, numbers, langs, lang, maps.value, longest)]
+            columns, gram = [numbers[starts]], lang[starts]
             for k in range(longest):
-                going = going & linked[starts + k - 1] if k else going
-                columns.append(np.where(going, numbers[starts + k], 0))
-                # One number for the gram so far: exact, and below the number of starts again after each step.
-                gram = gram * len(words) + columns[-1]
-                if k + 1 < longest:
+                if k:
+                    columns.append(np.where(going[k - 1], numbers[starts + k], 0))
+                    # One number for the gram so far: exact, and below the number of starts again.
                     gram = np.unique(gram, return_inverse=True)[1]
+                gram = gram * len(words) + columns[-1]
             _, first, count = np.unique(gram, return_index=True, return_counts=True)
             for start in range(0, len(first), 50_000):
                 at = first[start : start + 50_000]
@@ -272,8 +290,8 @@ def collocations(
     repeated rows count each time, null texts are empty, a null lang is `und`, ids are not read.
     """
     scratch = Scratch(docs.sparkSession, "collocations")
-    solid = docs.sparkSession.sparkContext.broadcast(bitmap(solid_pairs(docs, min_count, scratch, longest), bitmap_bits))
-    counted = scratch.put(grams(docs, solid, longest), "grams")
+    maps = solid_maps(docs, min_count, scratch, longest, bitmap_bits)
+    counted = scratch.put(grams(docs, maps, longest), "grams", "zstd")
     phrases, totals = flow(counted, scratch, min_count, longest)
     scratch.clear(keep=("phrases", "totals"))
     found = paths(phrases, scratch, longest)

@@ -98,8 +98,8 @@ def test_buffers_begin_every_gram_once(rows, monkeypatch):
 def test_paths_hold_every_edge_once(spark, rows):
     docs = spark.createDataFrame(rows, "lang string, text string")
     scratch = Scratch(spark, "test")
-    solid = spark.sparkContext.broadcast(collocations.bitmap(collocations.solid_pairs(docs, 5, scratch)))
-    phrases, _ = collocations.flow(scratch.put(collocations.grams(docs, solid), "grams"), scratch, 5)
+    maps = collocations.solid_maps(docs, 5, scratch)
+    phrases, _ = collocations.flow(scratch.put(collocations.grams(docs, maps), "grams"), scratch, 5)
     f = counts(rows)
     assert {(r.lang, tuple(r.words.split(" "))): r.n for r in phrases.collect()} == {k: n for k, n in f.items() if n >= 5}
     found = collocations.paths(phrases, scratch).collect()
@@ -111,6 +111,16 @@ def test_paths_hold_every_edge_once(spark, rows):
         assert all(f[r.lang, tuple(r.words[i : i + 3])] == r.n for i in range(1, len(r.words) - 3))
 
 
+@pytest.mark.parametrize("longest", [2, 3, 5])
+def test_other_lengths(spark, rows, longest):
+    f = counts(rows, longest)
+    docs, scratch = spark.createDataFrame(rows, "lang string, text string"), Scratch(spark, "test")
+    counted = scratch.put(collocations.grams(docs, collocations.solid_maps(docs, 5, scratch, longest), longest), "grams")
+    phrases, _ = collocations.flow(counted, scratch, 5, longest)
+    assert {(r.lang, tuple(r.words.split(" "))): r.n for r in phrases.collect()} == {k: n for k, n in f.items() if n >= 5}
+    assert collocations.collocations(docs, 5, 20, longest).count() > 0
+
+
 def test_counts_pass_64_bits(spark):
     n = 10**13
     phrases = spark.createDataFrame([("en", "a", 1, 3 * n), ("en", "b", 1, 2 * n), ("en", "a b", 2, n)], "lang string, words string, size int, n long")
@@ -121,6 +131,6 @@ def test_counts_pass_64_bits(spark):
 def test_odd_rows(spark):
     odd = odd_documents(spark)
     rows = [(r.lang, r.text) for r in odd.select("lang", "text").collect()]
-    docs = odd.withColumnsRenamed({"start": "words", "end": "n", "hash": "pair"})
+    docs = odd.withColumnsRenamed({"start": "words", "end": "n", "hash": "phrase"})
     assert {tuple(r) for r in collocations.collocations(docs, 2, 30).collect()} == slow(rows, 2, 30)
     assert collocations.collocations(empty_documents(spark)).count() == 0
