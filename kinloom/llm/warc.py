@@ -23,13 +23,14 @@ from urllib.parse import quote, unquote
 import pyarrow as pa
 import pyarrow.fs as pafs
 import zstandard
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kinloom.session import Scratch, workspace
 
 FRAME_BYTES = 1 << 18  # uncompressed bytes after which a frame is closed
 BUNDLE_BYTES = 1 << 26  # compressed bytes after which a bundle is closed
+RUN, TASK_RUNS = 64, 8  # frames read in a run, and runs read by a task: 128 MB
 MIN_PAYLOAD = 0  # smaller payloads are stored in full each time
 
 # Marks of the seekable Zstandard format, the revisit profile, the date of all records.
@@ -223,10 +224,20 @@ def read_archives(index: DataFrame, folder: str) -> DataFrame:
                     yield _batches(list(parse(io.BytesIO(reader.frame(k)))))
                 reader.close()
 
-    # Frames are dealt out in runs of 64 of a bundle.
-    frames = index.select("bundle", "frame", F.floor(F.col("frame") / 64).alias("run")).distinct()
+    frames = index.select("bundle", "frame", _run()).distinct()
     runs = frames.groupBy("bundle", "run").agg(F.collect_list("frame").alias("frames"))
-    return runs.select("bundle", "frames").mapInArrow(read, RECORDS)
+    return _dealt(runs.select("bundle", "frames")).mapInArrow(read, RECORDS)
+
+
+def _run() -> Column:
+    """Frames are dealt out in runs of RUN of a bundle."""
+    return F.floor(F.col("frame") / RUN).alias("run")
+
+
+def _dealt(runs: DataFrame) -> DataFrame:
+    """Runs, few bytes each but many to read, over as many tasks as their number asks for."""
+    runs = Scratch(runs.sparkSession, "runs").put(runs, "runs")
+    return runs.repartition(max(1, -(-runs.count() // TASK_RUNS)))
 
 
 def fetch(index: DataFrame, folder: str, page_ids: DataFrame) -> DataFrame:
@@ -243,8 +254,8 @@ def fetch(index: DataFrame, folder: str, page_ids: DataFrame) -> DataFrame:
                 reader.close()
 
     wanted = index.join(page_ids.select("page_id").distinct(), "page_id", "left_semi")
-    runs = wanted.groupBy("bundle", F.floor(F.col("frame") / 64)).agg(F.collect_list(F.struct("frame", "offset", "length")).alias("places"))
-    return runs.select("bundle", "places").mapInArrow(read, RECORDS)
+    runs = wanted.groupBy("bundle", _run()).agg(F.collect_list(F.struct("frame", "offset", "length")).alias("places"))
+    return _dealt(runs.select("bundle", "places")).mapInArrow(read, RECORDS)
 
 
 def archive_folder(spark: SparkSession) -> str:
