@@ -28,7 +28,9 @@ MALE = ("Adam", "Bruno", "Carlos", "David", "Emil", "Felix", "Georg", "Hugo", "I
 FEMALE = ("Alice", "Berta", "Clara", "Diana", "Elena", "Frida", "Greta", "Helena", "Irene", "Julia", "Klara", "Laura", "Maria", "Nora", "Olga", "Paula")
 PERSON = rf"(?<!\p{{L}})(?:{MALE_TITLES}|{FEMALE_TITLES})\.?\x20\p{{Lu}}\p{{L}}+(?:\x20\p{{Lu}}\p{{L}}+)?"
 KINDS = (
-    ("email", r"[\p{L}\p{N}._%+-]+@[\p{L}\p{N}-]+(?:\.[\p{L}\p{N}-]+)*\.\p{L}{2,}"),
+    # Tried where a run of its characters begins, and no character is given back: long runs take one look.
+    # A name in the net has at most 127 parts.
+    ("email", r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]++@[\p{L}\p{N}-]++(?:\.[\p{L}\p{N}-]++){0,126}\.\p{L}{2,}"),
     ("ip", r"(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?![\d.]*\d)"),
     ("card", r"(?<![\p{L}\d])\d{4}(?:[\x20-]?\d{4}){3}(?![\p{L}\d])"),
     ("phone", r"(?<![\p{L}\d])(?:\+\d{1,3}[\x20-]?)?\(?\d{3}\)?[\x20-]\d{3}[\x20-]\d{4}(?![\p{L}\d])"),

@@ -4,10 +4,12 @@ import collections
 import hashlib
 import math
 import re
+import time
 import zlib
 
 import numpy as np
 import pytest
+import regex
 import xxhash
 from pyspark.sql import functions as F
 
@@ -260,6 +262,54 @@ def test_a_hot_value_is_cut(spark):
     assert len(count) == 6 and max(count.values()) - min(count.values()) <= 6
 
 
+def test_a_repeated_row_is_cut(spark):
+    other = F.when(F.col("id") < 600, F.col("id")).otherwise(-1)
+    rows = spark.range(900).select(
+        other.alias("doc_id"), F.format_string("text number %05d", other).alias("text"), F.lit("en").alias("lang"), F.lit("one").alias("source")
+    )
+    got = kdtree.shard_rows(rows, 8).collect()
+    size = collections.Counter()
+    for r in got:
+        size[r.shard] += r["size"]
+    assert len(got) == 900 and set(size) == set(range(8)) and max(size.values()) - min(size.values()) <= 2 * max(r["size"] for r in got)
+    spread = collections.Counter(r.shard for r in kdtree.sharded(rows, 8).collect())
+    assert sorted(spread) == list(range(8)) and sum(spread.values()) == 900
+
+
+def splits_of(rows, leaves):
+    """The tree by sorting all rows: (leaf of each row)."""
+    spans = [max(1, max(r[d] for r in rows) - min(r[d] for r in rows)) for d in range(3)]
+    leaf = {}
+
+    def cut(part, first, n):
+        if n == 1 or not part:
+            leaf.update(dict.fromkeys((r[-1] for r in part), first))
+            return
+        dim = max(range(3), key=lambda d: ((max(r[d] for r in part) - min(r[d] for r in part)) / spans[d], -d))
+        part = sorted(part, key=lambda r: (r[dim], *r[3:]))
+        goal, before, at = sum(r[2] for r in part) * (n // 2) / n, 0, 0
+        for at, r in enumerate(part):
+            if before + r[2] / 2 > goal:
+                break
+            before += r[2]
+        else:
+            at = len(part)
+        cut(part[:at], first, n // 2)
+        cut(part[at:], first + n // 2, n - n // 2)
+
+    cut(rows, 0, leaves)
+    return leaf
+
+
+@pytest.mark.parametrize("leaves", [8, 5])
+def test_tree_equals_brute_force(spark, docs, leaves):
+    rows = kdtree.numbered(docs, Scratch(spark, "test"))
+    levels = kdtree.build(rows, leaves=leaves)
+    got = {r[kdtree.ROW]: r.shard for r in kdtree.assign(rows.withColumn("r", F.col(kdtree.ROW)), levels).withColumnRenamed("r", kdtree.ROW).collect()}
+    columns = [*kdtree.DIMENSIONS, *kdtree.TIES]
+    assert got == splits_of([tuple(r) for r in rows.select(*columns).collect()], leaves)
+
+
 def test_leaves_reach_the_target(spark, docs):
     total = sum(r["size"] for r in kdtree.shard_rows(docs).collect())
     out = kdtree.sharded(docs, target_bytes=total // 5)
@@ -381,6 +431,43 @@ def test_late_draws_are_wider(spark, kind, entity):
             assert sum(sum(divmod(2 * d, 10)) if k % 2 else d for k, d in enumerate(digits)) % 10 == 0
 
 
+@pytest.mark.parametrize(
+    "text", ["x" * 1_000_000, "漢" * 1_000_000, "x@" * 200_000, "a@" + "x" * 1_000_000, "a@" + "b." * 100_000, "1.2." * 200_000, "Mr Smith" * 50_000]
+)
+def test_long_runs_take_one_look(spark, text):
+    docs = spark.createDataFrame([(1, text + " Ann@x.com")], "doc_id long, text string")
+    start = time.time()
+    row = pii.surrogate_report(docs, "k").first()
+    assert row.n_email >= 1 and "Ann@x.com" not in row.text and time.time() - start < 60
+
+
+def spans_of(text):
+    """(kind, start, entity), by trying every kind at every place."""
+    patterns = [(k, regex.compile(p.replace("++", "+").replace("{0,126}", "*"), regex.V0)) for k, p in pii.KINDS]
+    at, found = 0, []
+    while at < len(text):
+        hit = next(((k, m) for k, p in patterns if (m := p.match(text, at))), None)
+        if hit:
+            found.append((hit[0], at, hit[1][0]))
+        at = hit[1].end() if hit else at + 1
+    return found
+
+
+def test_spans_equal_brute_force(docs, texts):
+    got = {r.doc_id: r for r in pii.replace(docs, "k").collect()}
+    seen = 0
+    for i, text in texts.items():
+        spans, shift = spans_of(text), 0
+        assert [e.kind for e in got[i].entities] == [k for k, _, _ in spans]
+        rebuilt, end = [], 0
+        for e, (_, start, entity) in zip(got[i].entities, spans):
+            assert e.start == start + shift
+            rebuilt += [text[end:start], e.surrogate]
+            end, shift, seen = start + len(entity), shift + len(e.surrogate) - len(entity), seen + 1
+        assert got[i].text == "".join(rebuilt) + text[end:]
+    assert seen > 20
+
+
 def test_surrogates_of_odd_rows(spark):
     odd = odd_documents(spark)
     out = pii.replace(odd, "k")

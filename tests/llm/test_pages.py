@@ -64,6 +64,13 @@ def test_round_trip_of_all_pages(spark):
     assert sorted((tuple(r) for r in warc.round_trip(pages).collect()), key=str) == expected(rows)
 
 
+def test_reading_back_is_dealt_to_many_tasks(spark):
+    frames = spark.range(10_004).select(F.lit("b").alias("bundle"), F.col("id").alias("frame"))
+    runs = frames.groupBy("bundle", warc._run()).agg(F.collect_list("frame").alias("frames"))
+    parts = [r.n for r in warc._dealt(runs).groupBy(F.spark_partition_id()).agg(F.sum(F.size("frames")).alias("n")).collect()]
+    assert len(parts) > 10 and sum(parts) == 10_004 and max(parts) <= 64 * 12
+
+
 def test_a_record_is_fetched_from_its_frame(spark, odd_pages, monkeypatch):
     folder = warc.archive_folder(spark)
     index = warc.write_archives(odd_pages, folder)
