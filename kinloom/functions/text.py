@@ -138,6 +138,40 @@ def _batch_similarity(left: pa.Array, right: pa.Array, floor: float) -> pa.Array
     return pa.array(out, mask=~valid)
 
 
+def similarity(left: np.ndarray, right: np.ndarray, floor: float) -> np.ndarray:
+    """Similarities of aligned texts; 0 where they cannot reach `floor`."""
+    found = _batch_similarity(pa.array(left, type=pa.string()), pa.array(right, type=pa.string()), floor)
+    return found.to_numpy(zero_copy_only=False)
+
+
+def edit_distance(left: np.ndarray, right: np.ndarray, limit: int) -> np.ndarray:
+    """Levenshtein distances of aligned texts, -1 beyond `limit`."""
+    out = np.full(len(left), -1, dtype=np.int64)
+    sizes = np.array([abs(len(x) - len(y)) for x, y in zip(left, right)], dtype=np.int64)
+    near = np.flatnonzero(sizes <= limit)  # as many insertions at least
+    for start in range(0, len(near), _CHUNK):
+        at = near[start : start + _CHUNK]
+        out[at] = _edit_chunk(left[at].astype(np.str_), right[at].astype(np.str_), limit)
+    return out
+
+
+def _edit_chunk(left: np.ndarray, right: np.ndarray, limit: int) -> np.ndarray:
+    a, la = _codes(left)
+    b, lb = _codes(right)
+    places = np.arange(b.shape[1] + 1, dtype=np.int32)
+    row = np.broadcast_to(places, (len(a), len(places))).copy()
+    out = np.where(la == 0, lb, 0)
+    for i in range(1, a.shape[1] + 1):
+        new = np.empty_like(row)
+        new[:, 0] = i
+        np.minimum(row[:, :-1] + (b != a[:, i - 1 : i]), row[:, 1:] + 1, out=new[:, 1:])
+        # Insertions run along the row: the least of what is before, one more for each place.
+        row = np.minimum.accumulate(new - places, axis=1) + places
+        ended = la == i
+        out[ended] = row[ended, lb[ended]]
+    return np.where(out <= limit, out, -1)
+
+
 def similarities(pairs: dict[str, tuple[Column, Column, float]]) -> Column:
     """One struct column with the Jaro-Winkler similarity of each named pair.
 

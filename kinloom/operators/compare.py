@@ -22,6 +22,7 @@ TOP_LEVEL = {
 
 # The lowest similarity any ladder asks about.
 NAME_FLOOR, EMAIL_FLOOR = 0.70, 0.88
+NAME_STEPS = (0.92, 0.88, 0.70)
 
 
 def _ladder(left: Column, right: Column, *steps: tuple[int, Column]) -> Column:
@@ -32,9 +33,8 @@ def _ladder(left: Column, right: Column, *steps: tuple[int, Column]) -> Column:
 
 
 def _name(left: Column, right: Column, similarity: Column) -> Column:
-    return _ladder(
-        left, right, (4, left == right), (3, similarity >= 0.92), (2, similarity >= 0.88), (1, similarity >= 0.70)
-    )
+    steps = [(3 - i, similarity >= step) for i, step in enumerate(NAME_STEPS)]
+    return _ladder(left, right, (4, left == right), *steps)
 
 
 def with_parts(captured: DataFrame) -> DataFrame:

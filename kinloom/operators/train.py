@@ -12,13 +12,13 @@ from kinloom.operators.blocking import (
     BLOCKING_RULES,
     DETERMINISTIC_RULES,
     Rule,
-    candidate_pairs,
     captures,
     collapse,
     union_pair_counts,
 )
-from kinloom.operators.compare import PARTS, TOP_LEVEL, gammas, own_gammas, with_parts
+from kinloom.operators.compare import TOP_LEVEL, own_gammas, with_parts
 from kinloom.operators.ids import global_position
+from kinloom.operators.patterns import pair_patterns, ring_levels
 from kinloom.schemas import COMPARED
 from kinloom.session import materialize
 
@@ -63,27 +63,28 @@ def prior_estimate(records: DataFrame, recall: float = RECALL) -> DataFrame:
     )
 
 
-def random_pairs(captured: DataFrame, max_pairs: int = MAX_RANDOM_PAIRS, seed: int = SEED) -> DataFrame:
-    """About `max_pairs` different random pairs of captures from the whole pool.
+def ring_of(captured: DataFrame, max_pairs: int = MAX_RANDOM_PAIRS, seed: int = SEED) -> tuple[DataFrame, int, int]:
+    """(captures with their place `pos` in a ring in hash order, their number, how many next ones each meets).
 
-    Captures stand in a ring in hash order and each meets those at the next offsets: an
-    equi-join on ring positions. A pool larger than `max_pairs` is thinned by the hash to
-    about that many captures, each with one partner.
+    That makes about `max_pairs` different random pairs of captures from the whole pool. A pool
+    larger than `max_pairs` is thinned by the hash to about that many captures, each with one partner.
     """
-    captured = with_parts(captured)
-    columns = captured.columns
     order = F.xxhash64(F.lit(seed), F.col("source_record_id"))
     share = min(1.0, max_pairs / max(captured.count(), 1))
-    drawn = captured.withColumn("_h", order).filter(F.pmod("_h", F.lit(1 << 40)) < int(share * (1 << 40)))
-    ring = materialize(
-        global_position(drawn, "_h", "source_record_id", name="pos").select("pos", F.struct(*columns).alias("side")), "ring"
-    )
+    drawn = with_parts(captured).withColumn("_h", order).filter(F.pmod("_h", F.lit(1 << 40)) < int(share * (1 << 40)))
+    ring = materialize(global_position(drawn, "_h", "source_record_id", name="pos").drop("_h"), "ring")
     n = ring.count()
-    steps = max(min((n - 1) // 2, -(-max_pairs // max(n, 1))), 1)
+    return ring, n, max(min((n - 1) // 2, -(-max_pairs // max(n, 1))), 1)
+
+
+def random_pairs(captured: DataFrame, max_pairs: int = MAX_RANDOM_PAIRS, seed: int = SEED) -> DataFrame:
+    """The random pairs of the ring, listed: an equi-join on places."""
+    ring, n, steps = ring_of(captured, max_pairs, seed)
+    side = F.struct(*[c for c in ring.columns if c != "pos"])
     offsets = F.sequence(F.lit(1), F.lit(steps)) if n > 1 else F.array().cast("array<int>")
-    left = ring.select(F.col("side").alias("l"), "pos", F.explode(offsets).alias("step"))
+    left = ring.select(side.alias("l"), "pos", F.explode(offsets).alias("step"))
     meets = (F.col("pos") + F.col("step") - 1) % F.lit(max(n, 1)) + 1
-    right = ring.select(F.col("side").alias("r"), F.col("pos").alias("meets"))
+    right = ring.select(side.alias("r"), F.col("pos").alias("meets"))
     return left.withColumn("meets", meets).join(right, "meets").select("l", "r")
 
 
@@ -100,8 +101,10 @@ def _normalise(counts: list[float]) -> list[float]:
 
 
 def u_probabilities(captured: DataFrame, max_pairs: int = MAX_RANDOM_PAIRS, seed: int = SEED) -> Levels:
-    rows = level_counts(gammas(random_pairs(captured, max_pairs, seed))).collect()  # at most 7 x 6 rows
-    seen = {(r["field"], r["level"]): r["n"] for r in rows}
+    """Shares of the levels among the random pairs, which are counted where the ring is and not listed."""
+    ring, n, steps = ring_of(captured, max_pairs, seed)
+    counted = ring_levels(ring, n, steps, COMPARED).groupBy("field", "level").agg(F.sum("n").alias("n"))
+    seen = {(r["field"], r["level"]): r["n"] for r in counted.collect()}  # at most 7 x 6 rows
     return {f: _normalise([seen.get((f, i), 0) for i in range(top + 1)]) for f, top in TOP_LEVEL.items()}
 
 
@@ -109,13 +112,11 @@ def gamma_patterns(vectors: DataFrame, rule: Rule, fields: tuple[str, ...]) -> D
     """Pair counts per combination of levels among the pairs of one rule.
 
     Copies count by weight: l.copies x r.copies pairs between two captures, and
-    n over 2 pairs inside one. At most 6^k patterns exist, whatever the data size.
+    n over 2 pairs inside one. Pairs are counted in bounded groups of captures and
+    never listed. At most 6^k patterns exist, whatever the data size.
     """
     names = [f"gamma_{f}" for f in fields]
-    kept = vectors.select("rep", "copies", *COMPARED, *PARTS)
-    between = gammas(candidate_pairs(kept, (rule,)), fields).select(
-        *names, (F.col("l.copies") * F.col("r.copies")).cast("double").alias("w")
-    )
+    between = pair_patterns(vectors, rule, fields)
     keyed = F.lit(True)
     for c in rule:
         keyed = keyed & F.col(c).isNotNull()

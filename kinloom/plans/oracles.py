@@ -186,13 +186,19 @@ TOP = {f: len(FIXED_MODEL.m[f]) - 1 for f in FIELDS}
 
 ORACLES["gamma_vectors"] = f"WITH {GAMMAS} SELECT rep_l, rep_r, {NAMES} FROM gammas"
 
-_PAT = [f for f in FIELDS if f != _D]
-_PATN = ", ".join(f"gamma_{f}" for f in _PAT)
-ORACLES["gamma_patterns"] = f"""WITH {REC},
+
+def patterns_sql(rule: tuple[str, ...]) -> str:
+    kept = [f for f in FIELDS if f not in rule]
+    return f"""WITH {REC},
 pairs AS (SELECT {', '.join(f'l.{c} AS {c}_l, r.{c} AS {c}_r' for c in FIELDS)} FROM rec l JOIN rec r
-  ON l.{_D} = r.{_D} AND l.source_record_id < r.source_record_id),
-gammas AS (SELECT {', '.join(f'CAST({GAMMA[f]} AS INTEGER) AS gamma_{f}' for f in _PAT)} FROM pairs)
-SELECT {_PATN}, CAST(count(*) AS DOUBLE) AS pairs FROM gammas GROUP BY ALL"""
+  ON {same(rule)} AND l.source_record_id < r.source_record_id),
+gammas AS (SELECT {', '.join(f'CAST({GAMMA[f]} AS INTEGER) AS gamma_{f}' for f in kept)} FROM pairs)
+SELECT {', '.join(f'gamma_{f}' for f in kept)}, CAST(count(*) AS DOUBLE) AS pairs FROM gammas GROUP BY ALL"""
+
+
+ORACLES["gamma_patterns_names"] = patterns_sql(("first_name", "last_name"))
+ORACLES["gamma_patterns"] = patterns_sql((_D,))
+ORACLES["gamma_patterns_postcode"] = patterns_sql(("postcode",))
 DET = (("email",), ("phone", "last_name"), ("date_of_birth", "postcode", "last_name"))
 ORACLES["prior_estimate"] = f"""WITH {REC},
 pairs AS ({pairs_sql('rec', 'source_record_id', DET, '1 AS one')})
@@ -641,6 +647,22 @@ med AS (SELECT {', '.join(f'median({f}) AS {f}' for f in FEATURE_NAMES)} FROM fe
 mad AS (SELECT {', '.join(f'greatest(median(abs(x.{f} - med.{f})) * 1.4826, 1e-9) AS {f}' for f in FEATURE_NAMES)} FROM featured x, med),
 zed AS MATERIALIZED (SELECT x.master_citizen_id, greatest({', '.join(f'abs(x.{f} - med.{f})/mad.{f}' for f in FEATURE_NAMES)}) AS score FROM featured x, med, mad)"""
 ORACLES["robust_z"] = f"WITH {Z} SELECT master_citizen_id, round(score,6) AS score FROM zed"
+_STANDARD = ", ".join(f"(v.{f} - avg_{f}) / CASE WHEN sd_{f} = 0 THEN 1 ELSE sd_{f} END" for f in FEATURE_NAMES)
+LOF = f"""{FEATURED},
+vec AS MATERIALIZED (SELECT min(master_citizen_id) AS id, count(*) AS weight, {', '.join(FEATURE_NAMES)} FROM featured GROUP BY ALL),
+sums AS (SELECT {', '.join(f'avg({f}) AS avg_{f}, stddev_pop({f}) AS sd_{f}' for f in FEATURE_NAMES)},
+  greatest(least(50, count(*) - 1), 1) AS k FROM featured),
+pt AS MATERIALIZED (SELECT id, weight, k, CAST([{_STANDARD}] AS DOUBLE[{len(FEATURE_NAMES)}]) AS x FROM vec v, sums),
+dist AS (SELECT a.id, a.k, b.id AS other, b.weight - CAST(a.id = b.id AS INTEGER) AS weight, round(array_distance(a.x, b.x), 9) AS distance FROM pt a, pt b),
+upto AS (SELECT *, sum(weight) OVER (PARTITION BY id ORDER BY distance, other) AS upto FROM dist WHERE weight > 0),
+near AS MATERIALIZED (SELECT id, other, distance, least(weight, k - (upto - weight)) AS weight, max(distance) OVER (PARTITION BY id) AS kdist
+  FROM upto WHERE upto - weight < k),
+reach AS (SELECT DISTINCT id AS other, kdist AS other_kdist FROM near),
+lrd AS MATERIALIZED (SELECT id, 1.0 / (sum(greatest(distance, other_kdist) * weight) / sum(weight) + 1e-10) AS lrd FROM near JOIN reach USING (other) GROUP BY id),
+lof AS (SELECT near.id, sum(o.lrd * weight) / sum(weight) / any_value(own.lrd) AS score
+  FROM near JOIN lrd o ON o.id = near.other JOIN lrd own ON own.id = near.id GROUP BY near.id)"""
+ORACLES["lof_scores"] = f"""WITH {LOF} SELECT master_citizen_id, round(score, 6) AS score
+FROM featured JOIN vec USING ({', '.join(FEATURE_NAMES)}) JOIN lof USING (id)"""
 ERRORS = """cells AS (SELECT DISTINCT master_citizen_id, person_index FROM linked),
 spread AS (SELECT person_index, count(*) AS clusters FROM cells GROUP BY ALL),
 errors AS (SELECT master_citizen_id, greatest(count(*), max(clusters)) > 1 AS is_error FROM cells JOIN spread USING (person_index) GROUP BY ALL)"""

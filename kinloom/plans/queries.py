@@ -119,11 +119,23 @@ def gamma_vectors(spark, sf):
     return pairs.select(F.col("l.rep").alias("rep_l"), F.col("r.rep").alias("rep_r"), *score.GAMMA_COLUMNS)
 
 
+def patterns_of(spark, sf, rule):
+    return train.gamma_patterns(inputs.vectors(spark, sf), rule, tuple(f for f in COMPARED if f not in rule))
+
+
+@query
+def gamma_patterns_names(spark, sf):
+    return patterns_of(spark, sf, TRAINING_RULES[0])
+
+
 @query
 def gamma_patterns(spark, sf):
-    rule = TRAINING_RULES[1]
-    fields = tuple(f for f in COMPARED if f not in rule)
-    return train.gamma_patterns(inputs.vectors(spark, sf), rule, fields)
+    return patterns_of(spark, sf, TRAINING_RULES[1])
+
+
+@query
+def gamma_patterns_postcode(spark, sf):
+    return patterns_of(spark, sf, TRAINING_RULES[2])
 
 
 @query
