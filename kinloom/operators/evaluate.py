@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from kinloom.functions.expr import pair_count, squeezed
 from kinloom.schemas import RECORD_ID, TRUTH, require
+from kinloom.session import materialize
 
 # The thresholds of the sweep and the clustering threshold.
 SWEEP_THRESHOLDS = (0.10, 0.25, 0.50, 0.75, 0.90, 0.95, 0.99, 0.995, 0.999)
@@ -59,10 +60,12 @@ def linkage_partition(clusters: DataFrame, records: DataFrame) -> DataFrame:
 def contingency(labelled: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     """Pair sums and cluster shapes per group, never the pairs themselves.
 
-    Counts collapse to (cluster, person) cells first, map-side, so one cluster
-    holding most records is just one row per mapper.
+    Rows count once, or `n` times if there is such a column. Counts collapse to (cluster,
+    person) cells first, map-side, so one cluster holding most records is just one row per
+    mapper; the cells are written once and all sums read them.
     """
-    cells = labelled.groupBy(*by, "predicted_id", TRUTH).agg(F.count(F.lit(1)).alias("n"))
+    n = F.sum("n") if "n" in labelled.columns else F.count(F.lit(1))
+    cells = materialize(labelled.groupBy(*by, "predicted_id", TRUTH).agg(n.alias("n")), "cells")
     clusters = cells.groupBy(*by, "predicted_id").agg(
         F.sum("n").alias("size"), F.count(F.lit(1)).alias("parts"), F.min(TRUTH).alias(TRUTH)
     )
