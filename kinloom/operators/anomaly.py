@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from kinloom.functions import expr
 from kinloom.operators.forest import grow_forest, score_and_attribute, tree_samples
 from kinloom.operators.lof import local_outlier_factors
+from kinloom.operators.quantiles import quantiles
 from kinloom.operators.ranking import ranking_metrics
 from kinloom.schemas import MASTER_ID, TRUTH, require
 from kinloom.session import materialize
@@ -73,8 +74,7 @@ def distinct_vectors(featured: DataFrame) -> DataFrame:
 
 
 def medians(vectors: DataFrame) -> dict[str, float]:
-    row = vectors.agg(*[F.percentile(f, 0.5, F.col("weight")).alias(f) for f in FEATURES]).first()
-    return {f: float(row[f]) for f in FEATURES}
+    return quantiles(vectors, {f: F.col(f) for f in FEATURES}, 0.5, F.col("weight"))
 
 
 def forest_scores(featured: DataFrame, contamination: float = CONTAMINATION, seed: int = SEED) -> DataFrame:
@@ -89,12 +89,9 @@ def forest_scores(featured: DataFrame, contamination: float = CONTAMINATION, see
     middle = medians(vectors)
     run = score_and_attribute(featured.sparkSession, forest, size, [middle[f] for f in FEATURES], list(FEATURES))
     scored = materialize(vectors.withColumn("s", run).withColumn("raw", F.get("s", F.lit(0))), "scored")
-    limits = scored.agg(
-        F.min("raw").alias("lo"),
-        F.max("raw").alias("hi"),
-        F.percentile("raw", 1.0 - contamination, F.col("weight")).alias("cut"),
-    ).first()
-    lo, hi, cut = limits["lo"], limits["hi"], limits["cut"]
+    limits = scored.agg(F.min("raw").alias("lo"), F.max("raw").alias("hi")).first()
+    lo, hi = limits["lo"], limits["hi"]
+    cut = quantiles(scored, {"raw": F.col("raw")}, 1.0 - contamination, F.col("weight"))["raw"]
     raw = F.col("raw")
     score = (raw - lo) / (hi - lo) * 100 if hi > lo else F.lit(0.0)
     factors = []
@@ -217,7 +214,7 @@ def robust_z(featured: DataFrame) -> DataFrame:
     vectors = materialize(distinct_vectors(featured), "vectors")
     middle = medians(vectors)
     apart = {f: F.abs(F.col(f) - F.lit(middle[f])) for f in FEATURES}
-    mad = vectors.agg(*[F.percentile(apart[f], 0.5, F.col("weight")).alias(f) for f in FEATURES]).first()
+    mad = quantiles(vectors, apart, 0.5, F.col("weight"))
     z = [apart[f] / F.lit(max(float(mad[f]) * MAD_SCALE, SIGMA_FLOOR)) for f in FEATURES]
     return featured.select(MASTER_ID, F.greatest(*z).alias("score"))
 
