@@ -5,9 +5,10 @@ import collections
 import pytest
 
 import corpus_pipeline
-from kinloom.llm import quality, simhash
+from kinloom.llm import quality
 from kinloom.llm.queries import QUERIES
 from tests.llm.helpers import empty_documents, odd_documents
+from tests.llm.test_jaccard import stand
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -33,7 +34,7 @@ def test_stages_keep_the_columns_and_every_clean_document(spark, outputs):
         assert df.columns == docs.columns
     assert set(sharded.columns) == {*docs.columns, "shard"}
     assert ids(good) == ids(quality.quality_report(docs).filter("kept"))
-    assert set(ids(single)) == {r.component_id for r in simhash.near_duplicates(good).collect()}
+    assert set(ids(single)) == stand({r.doc_id: r.text for r in good.collect()})
     items = [r.text for r in spark.read.parquet(f"{FOLDER}/benchmark.parquet").collect()]
     assert ids(clean) == collections.Counter(r.doc_id for r in single.collect() if not any(t in r.text for t in items))
     assert set(ids(mixed)) == set(ids(clean)) and max(ids(mixed).values()) <= 2
