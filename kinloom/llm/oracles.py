@@ -32,37 +32,6 @@ SELECT page_id, CAST(strlen(h) AS BIGINT) AS payload_bytes,
   array_to_string([substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + {_FIVE}, 1) FOR k IN range(32)], '') AS payload_digest,
   CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> first THEN first END AS refers_to FROM f"""
 
-# Words with their places in pieces, all phrases of one to four words, then the contract word by word.
-_GRAMS = ", ".join(f"lead(w, {k}) OVER o AS w{k}" for k in range(1, 4))
-_PHRASES = " UNION ALL ".join(
-    f"SELECT lang, {k + 1} AS size, concat_ws(' ', w{''.join(f', w{j}' for j in range(1, k + 1))}) AS phrase, count(*) AS n FROM s"
-    f"{f' WHERE w{k} IS NOT NULL' if k else ''} GROUP BY ALL" for k in range(4)
-)
-_COLLOCATIONS = rf"""WITH d AS (SELECT row_number() OVER () AS r, coalesce(lang, 'und') AS lang,
-  translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
-p AS (SELECT r, lang, unnest(range(len(l))) AS k, unnest(l) AS piece
-  FROM (SELECT r, lang, string_split_regex(t, '[.,;:!?
-
-]') AS l FROM d)),
-w AS (SELECT r, lang, k, unnest(range(len(l))) AS i, unnest(l) AS w
-  FROM (SELECT r, lang, k, [x FOR x IN string_split_regex(piece, '[ 	]+') IF x <> ''] AS l FROM p)),
-s AS (SELECT lang, w, {_GRAMS} FROM w WINDOW o AS (PARTITION BY r, k ORDER BY i)),
-f AS MATERIALIZED (SELECT * FROM ({_PHRASES}) WHERE n >= 30 OR size = 1),
-total AS (SELECT lang, sum(n) AS n FROM f WHERE size = 1 GROUP BY lang),
-c AS (SELECT lang, phrase, size, n AS a, string_split(phrase, ' ') AS ws FROM f WHERE size > 1 AND n >= 30),
-cut AS (SELECT lang, phrase, a, ws, unnest(range(1, size)) AS k FROM c),
-halves AS (SELECT cut.lang, cut.phrase, a, k, fl.n AS l, fr.n AS r, (CAST(2000000 AS HUGEINT) * a) // (CAST(fl.n AS HUGEINT) + fr.n) AS score
-  FROM cut JOIN f fl ON fl.lang = cut.lang AND fl.phrase = array_to_string(ws[1:k], ' ')
-  JOIN f fr ON fr.lang = cut.lang AND fr.phrase = array_to_string(ws[k + 1:], ' ')),
-worst AS (SELECT * FROM halves QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
-inner_ AS (SELECT lang, a, unnest(list_distinct(flatten([[array_to_string(ws[i:i + m - 1], ' ') FOR i IN range(1, size - m + 2)]
-  FOR m IN range(2, size)]))) AS phrase FROM c),
-most AS (SELECT lang, phrase, max(a) AS most FROM inner_ GROUP BY ALL),
-kept AS (SELECT worst.* FROM worst LEFT JOIN most USING (lang, phrase) WHERE 100 * coalesce(most, 0) < 80 * a),
-ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM kept)
-SELECT lang, rank, phrase, a, l, r, CAST(total.n AS BIGINT) AS n, CAST(score AS BIGINT) AS score
-FROM ranked JOIN total USING (lang) WHERE rank <= 2000"""
-
 _DRAW = ", ".join(f"CAST('0x' || substr(h, {8 * k + 1}, 8) AS BIGINT) AS h{k + 1}" for k in range(4))
 _INFILL = rf"""WITH d AS (SELECT doc_id, coalesce(text, '') AS t, sha256('7:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents),
 u AS (SELECT doc_id, t, regexp_extract_all(t, '[^
@@ -92,7 +61,6 @@ FROM e JOIN least USING (r) LEFT JOIN n USING (r)"""
 ORACLES: dict[str, str] = {
     "op4_quality_cascade": _QUALITY,
     "op8_seekable_warc": _WARC,
-    "op11_collocations": _COLLOCATIONS,
     "op12_infill": _INFILL,
     "op13_flat_graph": _FLAT_GRAPH,
 }

@@ -1,4 +1,4 @@
-"""Collocations against counts of all phrases; the whole query also against SQL in tests/test_queries.py."""
+"""Collocations against counts of all phrases."""
 
 import collections
 import re
