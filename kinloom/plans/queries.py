@@ -651,17 +651,24 @@ def _people(spark, sf):
     return read_table(spark, sf, "customer").select(F.col("c_custkey").alias(TRUTH))
 
 
-def _generated(spark, sf, level="default"):
+def _population(spark, sf, level="default"):
+    """(citizens, records) as they are drawn: a reader computes the columns it asks for and no others."""
+    return synth.generate(_people(spark, sf), noise=synth.noise_level(level))
+
+
+def _generated(spark, sf):
+    """The default population with its records written, for readers of all columns."""
+
     def build():
-        persons, records = synth.generate(_people(spark, sf), noise=synth.noise_level(level))
+        persons, records = _population(spark, sf)
         return persons, materialize(records, "generated")
 
-    return inputs.stage(spark, sf, f"generated-{level}", build)
+    return inputs.stage(spark, sf, "generated", build)
 
 
 @query
 def generated_citizens(spark, sf):
-    return _generated(spark, sf)[0]
+    return _population(spark, sf)[0]
 
 
 @query
@@ -706,10 +713,10 @@ def generated_invariants(spark, sf):
 @query
 def pristine_capture(spark, sf):
     """Without noise every record repeats its person exactly: mismatches per field."""
-    persons, records = _generated(spark, sf, "pristine")
+    persons, records = _population(spark, sf, "pristine")
     fields = [*COMPARED, "city"]
     true = persons.select(TRUTH, *[F.col(c).alias(f"p_{c}") for c in fields])
-    joined = records.join(true, TRUTH)
+    joined = records.select(TRUTH, *fields).join(true, TRUTH)
     return joined.agg(
         F.count_distinct(TRUTH).alias("people"),
         *[F.count_if(~F.col(c).eqNullSafe(F.col(f"p_{c}"))).alias(f"differs_{c}") for c in fields],
@@ -721,11 +728,12 @@ def noise_rises(spark, sf):
     """Missing values and name variants must grow with every noise level."""
     rows = None
     for i, level in enumerate(("pristine", "light", "default", "heavy", "severe")):
-        records = _generated(spark, sf, level)[1]
-        names = records.groupBy(TRUTH).agg(F.count_distinct("first_name").alias("variants"))
-        measured = records.agg(
-            F.avg(F.expr("int(email is null) + int(phone is null) + int(address is null)")).alias("missing")
-        ).withColumn("_one", F.lit(1)).join(names.agg(F.avg("variants").alias("variants")).withColumn("_one", F.lit(1)), "_one")
+        of_person = _population(spark, sf, level)[1].groupBy(TRUTH).agg(
+            F.count_distinct("first_name").alias("variants"),
+            F.sum(F.expr("int(email is null) + int(phone is null) + int(address is null)")).alias("missing"),
+            F.count(F.lit(1)).alias("n"),
+        )
+        measured = of_person.agg((F.sum("missing") / F.sum("n")).alias("missing"), F.avg("variants").alias("variants"))
         row = measured.select(F.struct(F.lit(i).alias("level"), "missing", "variants").alias("m"))
         rows = row if rows is None else rows.unionByName(row)
     steps = F.array_sort(F.collect_list("m"))
