@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from functools import reduce
 from itertools import combinations
 
 from pyspark.sql import Column, DataFrame
@@ -29,6 +30,8 @@ DETERMINISTIC_RULES = (
 
 TILE_ROWS = 4_000
 BROADCAST_ROWS = 200_000
+HASHES = (1, 2)  # seeds of the halves of a 128-bit key
+KEYS_AT_ONCE = 8
 
 Rule = tuple[str, ...]
 
@@ -106,6 +109,15 @@ def _signed_sets(rules: tuple[Rule, ...]) -> dict[frozenset[str], int]:
     return {c: s for c, s in signs.items() if s}
 
 
+def _set_key(number: int, columns: list[str]) -> Column:
+    """128 bits that tell a set's values from all others, NULL as soon as one is missing."""
+    present = F.lit(True)
+    for c in columns:
+        present = present & F.col(f"{c}_{HASHES[0]}").isNotNull()
+    halves = [F.xxhash64(F.lit(seed), *[F.col(f"{c}_{seed}") for c in columns]) for seed in HASHES]
+    return F.struct(F.lit(number).alias("columns"), F.when(present, halves[0]).alias("high"), halves[1].alias("low"))
+
+
 def union_pair_counts(records: DataFrame, rules: tuple[Rule, ...] = BLOCKING_RULES) -> DataFrame:
     """Per rule its pairs, and the pairs no earlier rule has, without listing any.
 
@@ -115,15 +127,18 @@ def union_pair_counts(records: DataFrame, rules: tuple[Rule, ...] = BLOCKING_RUL
     """
     steps = [_signed_sets(rules[: i + 1]) for i in range(len(rules))]
     sets = sorted({s for step in steps for s in step} | {_needed((r,)) for r in rules}, key=sorted)
-    keyed = [
-        F.struct(F.lit(i).alias("columns"), block_key(tuple(sorted(s)), str(i)).alias("block"))
-        for i, s in enumerate(sets)
-    ]
-    present = F.filter(F.array(*keyed), lambda k: k["block"].isNotNull())
+    used = sorted(set().union(*sets))
+    # Each value is hashed once per record; what is dealt out per set are two longs, not the values.
+    hashed = [F.when(F.col(c).isNotNull(), F.xxhash64(F.lit(seed), F.col(c))).alias(f"{c}_{seed}") for c in used for seed in HASHES]
+    marked = _with_initial(records).select(*hashed)
+    marked = materialize(marked.repartition(shuffle_partitions(records.sparkSession)), "marked")
+    keys = [_set_key(i, sorted(s)) for i, s in enumerate(sets)]
+    # Few keys to a reader of the hashes: the JVM does not compile the one long method of all of them.
+    parts = [marked.select(F.inline(F.array(*keys[at : at + KEYS_AT_ONCE]))) for at in range(0, len(keys), KEYS_AT_ONCE)]
     counted = (
-        _with_initial(records)
-        .select(F.inline(present))
-        .groupBy("columns", "block")
+        reduce(DataFrame.unionByName, parts)
+        .filter("high IS NOT NULL")
+        .groupBy("columns", "high", "low")
         .agg(F.count(F.lit(1)).alias("n"))
         .filter("n > 1")
         .groupBy("columns")
