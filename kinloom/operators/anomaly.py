@@ -49,7 +49,7 @@ def check_contamination(contamination: float) -> float:
 
 
 def features(linked: DataFrame, profiles: DataFrame) -> DataFrame:
-    """The ten structural features per profile."""
+    """The ten structural features per profile; of profiles, `cluster_aggregates` is all that they need."""
     strain = linked.groupBy(MASTER_ID).agg(
         F.count_distinct(F.lower("first_name")).alias("distinct_first_names"),
         F.count_distinct("date_of_birth").alias("distinct_dobs"),

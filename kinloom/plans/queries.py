@@ -539,7 +539,7 @@ def graph_summary(spark, sf):
 def _features(spark, sf):
     def build():
         linked = inputs.surname_linked(spark, sf)
-        return materialize(anomaly.features(linked, profile.build_profiles(linked)), "features")
+        return materialize(anomaly.features(linked, profile.cluster_aggregates(linked)), "features")
 
     return inputs.stage(spark, sf, "features", build)
 
@@ -551,7 +551,7 @@ def _forest(spark, sf):
 @query
 def features(spark, sf):
     linked = inputs.surname_linked(spark, sf)
-    return flat(anomaly.features(linked, profile.build_profiles(linked)))
+    return flat(anomaly.features(linked, profile.cluster_aggregates(linked)))
 
 
 @query
