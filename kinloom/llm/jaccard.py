@@ -1,14 +1,16 @@
 """Near-duplicates by the stages' rule: sets of 5-word shingles with a Jaccard similarity of 0.8 or more.
 
-SimHash fingerprints cannot carry that rule: at similarity 0.8 they differ in about ten of 64
-bits, and a covering code for the threshold that holds nearly all such pairs sends each
-fingerprint to more anchors than there are documents. Candidates come from MinHash instead:
-BANDS bands of ROWS minima, so that a pair at 0.8 shares none in (1 - 0.8^4)^25 = 2 of a million
-cases, and more alike pairs more rarely still. Every candidate is verified by the exact Jaccard.
-
-Texts of equal sets are one node. First every bucket is a star around the node that meets most others: what that
-links (a large group of near copies) is a component. The nodes of buckets that still hold several
-components are then compared across components by prefix filtering, which loses nothing: shingles are
+Texts of equal sets are one node. A node has a SimHash fingerprint of its set, and fingerprints meet at the anchors
+of the covering code (`simhash.links`, its radius and threshold). What meets there is verified by the exact Jaccard,
+and what that links is a component.
+
+A fingerprint cannot carry the whole rule: at similarity 0.8 two differ in about ten of 64 bits, and a covering code
+for a threshold that holds nearly all such pairs sends each fingerprint to more anchors than there are documents
+(61 for 2 bits, 1,235 for 4). An exact comparison follows for what fingerprints leave apart. The nodes it has to look
+at are told by MinHash: BANDS bands of ROWS minima, so that a pair at 0.8 shares none in (1 - 0.8^4)^25 = 2 of a
+million cases, and more alike pairs more rarely still. First every such bucket is a star around the node that meets
+most others, which joins components of near copies. The nodes of buckets that still hold several components
+are then compared across components by prefix filtering, which loses nothing: shingles are
 ordered by the number of these nodes that hold them, and sets with a similarity of 0.8 or more have
 one in common among the first fifth of each. Texts that only share a frequent passage have rarer
 shingles in front and never meet. For each shingle, the nodes outside its largest component meet all
@@ -26,7 +28,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kinloom.llm.common import text_key
-from kinloom.llm.simhash import _pieces
+from kinloom.llm.simhash import THRESHOLD, _pieces
+from kinloom.llm.simhash import links as anchored
 from kinloom.operators.components import connected_components
 from kinloom.session import Scratch
 
@@ -35,6 +38,7 @@ SHINGLE = 5
 SIMILAR, OF = 4, 5
 BANDS, ROWS = 25, 4
 WORDS = 8  # longs that mark the shingles of a prefix
+AT_ONCE = 500  # texts whose shingles a task holds, and shingles it works on
 
 _DRAWN = np.random.default_rng(5).integers(0, 1 << 63, (2, BANDS * ROWS), dtype=np.uint64)
 _FACTORS, _SHIFTS = _DRAWN[0] * np.uint64(2) + np.uint64(1), _DRAWN[1]
@@ -59,8 +63,8 @@ def bands(hashes: np.ndarray) -> np.ndarray:
     if not len(hashes):
         return hashes
     least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, dtype=np.uint64)
-    for start in range(0, len(hashes), 500):
-        np.minimum(least, (hashes[start : start + 500, None] * _FACTORS + _SHIFTS).min(axis=0), out=least)
+    for start in range(0, len(hashes), AT_ONCE):
+        np.minimum(least, (hashes[start : start + AT_ONCE, None] * _FACTORS + _SHIFTS).min(axis=0), out=least)
     key = np.arange(1, BANDS + 1, dtype=np.uint64) * _MIX
     for row in least.reshape(BANDS, ROWS).T:
         key = (key ^ row) * _MIX
@@ -68,6 +72,14 @@ def bands(hashes: np.ndarray) -> np.ndarray:
     return key
 
 
+def fingerprint(hashes: np.ndarray) -> int:
+    """SimHash of a set: bit i is set if it is set in over half of the hashes; without any, 0."""
+    ones = np.zeros(64, dtype=np.int64)
+    for start in range(0, len(hashes), AT_ONCE):
+        ones += np.unpackbits(hashes[start : start + AT_ONCE].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(np.packbits(2 * ones > len(hashes), bitorder="little").view("<i8")[0])
+
+
 def _digest(hashes: np.ndarray) -> tuple[int, int]:
     """128 bits that tell a set from all others, as two longs."""
     whole = xxhash.xxh128_intdigest(hashes.tobytes())
@@ -80,26 +92,27 @@ def _text_keys() -> dict[str, Column]:
 
 
 def _signatures(docs: DataFrame) -> DataFrame:
-    """(doc_id, key, key2, high, low, n, bands): one row per row of `docs`."""
+    """(doc_id, key, key2, high, low, n, fp, bands): one row per row of `docs`."""
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (b.slice(start, AT_ONCE) for b in batches for start in range(0, b.num_rows, AT_ONCE)):
             sets = [shingles(x.as_py()) for x in batch.column(3)]
             digests = [_digest(s) for s in sets]
             made = [
                 pa.array([d[0] for d in digests], type=pa.int64()),
                 pa.array([d[1] for d in digests], type=pa.int64()),
                 pa.array(map(len, sets), type=pa.int64(), size=len(sets)),
+                pa.array(map(fingerprint, sets), type=pa.int64(), size=len(sets)),
                 pa.array([bands(s).view(np.int64) for s in sets], type=pa.list_(pa.int64())),
             ]
             yield pa.RecordBatch.from_arrays(
-                [*(batch.column(k) for k in range(3)), *made], names=["doc_id", "key", "key2", "high", "low", "n", "bands"]
+                [*(batch.column(k) for k in range(3)), *made], names=["doc_id", "key", "key2", "high", "low", "n", "fp", "bands"]
             )
 
     keys = _text_keys()
     narrow = docs.select("doc_id", *[c.alias(n) for n, c in keys.items()], F.col("text").cast("binary").alias("text"))
     kind = narrow.schema["doc_id"].dataType.simpleString()
-    return narrow.mapInArrow(of, f"doc_id {kind}, key long, key2 long, high long, low long, n long, bands array<long>")
+    return narrow.mapInArrow(of, f"doc_id {kind}, key long, key2 long, high long, low long, n long, fp long, bands array<long>")
 
 
 def _sets(texts: DataFrame) -> DataFrame:
@@ -133,7 +146,7 @@ def prefixes(sets: DataFrame, scratch: Scratch) -> DataFrame:
     found = sets.select("id", "component", "n").join(lists, "id").select("id", "component", "n", alone.alias("alone"), first.alias("first"))
     marks = lambda word: F.aggregate("first", F.lit(0).cast("long"), lambda acc, x: acc.bitwiseOR(_bit(x["shingle"], word)))
     found = found.withColumn("bits", F.array(*map(marks, range(WORDS))))
-    found = found.withColumn("lost", F.size("first") - sum((F.bit_count(F.get("bits", F.lit(w))) for w in range(WORDS)), F.lit(0)))
+    found = found.withColumn("lost", F.size("first") - _ones(F.col("bits")))
     rows = found.select("id", "component", "n", "alone", "lost", "bits", F.posexplode("first").alias("at", "x"))
     return scratch.put(
         rows.select(F.col("x.shingle").alias("shingle"), "id", "component", "n", (F.col("alone") + F.col("at")).alias("place"), "bits", "lost"),
@@ -148,6 +161,11 @@ def _bit(shingle: Column, word: int) -> Column:
     return F.when(F.floor(place / 64) == word, bit).otherwise(F.lit(0).cast("long"))
 
 
+def _ones(bits: Column) -> Column:
+    """How many bits are set. A loop over the words: spelled out, a join that counts them is a long method to compile."""
+    return F.aggregate(bits, F.lit(0), lambda acc, x: acc + F.bit_count(x))
+
+
 def across(held: DataFrame) -> DataFrame:
     """(a, b, m, n): pairs of sets of different components that share a shingle of their prefixes and may be similar."""
     shares = held.groupBy("shingle", "component").agg(F.count(F.lit(1)).alias("rows"))
@@ -166,7 +184,7 @@ def across(held: DataFrame) -> DataFrame:
     enough = rest * (SIMILAR + OF) >= (F.col("m") + F.col("n")) * SIMILAR
     # Of their first fifths two sets share no more than the bits they share and those that fell together;
     # of the rest, no more than the longer rest. (Whichever prefix ends first holds all they share up to there.)
-    both = sum((F.bit_count(F.get("bits", F.lit(w)).bitwiseAND(F.get("marks", F.lit(w)))) for w in range(WORDS)), F.lit(0))
+    both = _ones(F.zip_with("bits", "marks", lambda x, y: x.bitwiseAND(y)))
     most = both + F.least("lost", "gone") + F.ceil(F.greatest("m", "n") * SIMILAR / OF) - 1
     likely = most * (SIMILAR + OF) >= (F.col("m") + F.col("n")) * SIMILAR
     return left.join(marked, "shingle").filter((F.col("component") != F.col("of")) & once & sized & enough & likely).select(
@@ -174,6 +192,20 @@ def across(held: DataFrame) -> DataFrame:
     )
 
 
+def near(nodes: DataFrame, scratch: Scratch, threshold: int = THRESHOLD) -> DataFrame:
+    """(a, m, b, n): candidates among nodes (id, n, fp) that connect all whose fingerprints are linked at the anchors.
+
+    Nodes of one fingerprint are a star around the smallest, which stands for them in links to other fingerprints.
+    """
+    first = scratch.put(nodes.groupBy("fp").agg(F.min(F.struct("id", "n")).alias("first")), "first")
+    same = nodes.join(first, "fp").filter(F.col("id") != F.col("first.id"))
+    of = lambda k: first.select(F.col("fp").alias(k), F.col("first").alias(f"of_{k}"))
+    met = anchored(first.select("fp"), scratch, threshold).join(of("a"), "a").join(of("b"), "b")
+    return same.select(F.col("first.id").alias("a"), F.col("first.n").alias("m"), F.col("id").alias("b"), "n").unionByName(
+        met.select(F.col("of_a.id").alias("a"), F.col("of_a.n").alias("m"), F.col("of_b.id").alias("b"), F.col("of_b.n").alias("n"))
+    )
+
+
 def groups(docs: DataFrame) -> DataFrame:
     """(doc_id, key, group): one row per row of `docs`; rows of a group are connected by similarities of 0.8 or more.
 
@@ -182,9 +214,10 @@ def groups(docs: DataFrame) -> DataFrame:
     scratch = Scratch(docs.sparkSession, "jaccard")
     marked = scratch.put(_signatures(docs), "signatures")
     digest = marked.groupBy("high", "low").agg(
-        F.first("n").alias("n"), F.first("bands").alias("bands"), F.min(F.struct("key", "key2")).alias("text")
+        F.first("n").alias("n"), F.first("fp").alias("fp"), F.first("bands").alias("bands"), F.min(F.struct("key", "key2")).alias("text")
     )
     nodes = scratch.put(digest.withColumn("id", F.monotonically_increasing_id()), "nodes")  # a number is a fact once written
+    close = scratch.put(near(nodes.select("id", "n", "fp"), Scratch(docs.sparkSession, "fingerprints")), "close")
     buckets = scratch.put(nodes.select("id", "n", F.explode("bands").alias("band")), "buckets")
     shared = scratch.put(buckets.join(buckets.groupBy("band").agg(F.count("*").alias("size")).filter("size > 1"), "band"), "shared")
     # The text that variants were made of is alike to more of them than they are to each other: it meets the most.
@@ -192,7 +225,8 @@ def groups(docs: DataFrame) -> DataFrame:
     stars = shared.join(meets, "id").groupBy("band").agg(F.max(F.struct("meets", "id", "n")).alias("pivot"))
     met = scratch.put(shared.join(stars, "band"), "met")
     # One text stands for the texts of a node; a text that is repeated leaves each task once.
-    wanted = nodes.join(met.select("id").distinct(), "id", "left_semi").select("text", "id")
+    compared = met.select("id").unionByName(close.select(F.explode(F.array("a", "b")).alias("id"))).distinct()
+    wanted = nodes.join(compared, "id", "left_semi").select("text", "id")
     texts = docs.select(F.struct(*[c.alias(n) for n, c in _text_keys().items()]).alias("_key"), F.col("text").alias("_text"))
     texts = texts.groupBy("_key").agg(F.first("_text").alias("_text"))
     sets = scratch.put(_sets(texts.join(wanted.withColumnRenamed("text", "_key"), "_key").select("id", F.col("_text").alias("text"))), "sets")
@@ -206,7 +240,12 @@ def groups(docs: DataFrame) -> DataFrame:
         found = pairs.join(of("a"), "a").join(of("b"), "b").filter(both * (SIMILAR + OF) >= (F.col("m") + F.col("n")) * SIMILAR)
         return scratch.put(found.select("a", "b"), f"links{name}")
 
-    first = verified(met.select(F.col("pivot.id").alias("a"), F.col("pivot.n").alias("m"), F.col("id").alias("b"), "n"), "1")
+    copies = verified(close, "0")
+    copied = scratch.put(connected_components(copies, "a", "b"), "copied")
+    stars = met.select(F.col("pivot.id").alias("a"), F.col("pivot.n").alias("m"), F.col("id").alias("b"), "n").distinct()
+    of = lambda k: copied.select(F.col("node").alias(k), F.col("component").alias(f"c{k}"))
+    apart = stars.join(of("a"), "a", "left").join(of("b"), "b", "left").filter(F.coalesce("ca", "a") != F.coalesce("cb", "b"))
+    first = scratch.put(copies.unionByName(verified(apart, "1")), "first")
     linked = scratch.put(connected_components(first, "a", "b"), "linked").withColumnRenamed("node", "id")
     placed = scratch.put(met.select("band", "id", "n").join(linked, "id", "left").withColumn("component", F.coalesce("component", "id")), "placed")
     several = placed.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high").select("band")

@@ -48,6 +48,48 @@ def test_groups_equal_brute_force(spark):
     assert {r.doc_id for r in jaccard.keep_one(docs).collect()} == wanted
 
 
+def connected(nodes, pairs):
+    """The smallest node that each of the nodes reaches."""
+    least = {i: i for i in nodes}
+    for _ in nodes:
+        before = dict(least)
+        for a, b in pairs:
+            least[a] = least[b] = min(least[a], least[b])
+        if before == least:
+            return least
+    return least
+
+
+def test_fingerprints_meet_at_anchors(spark):
+    """Candidates connect exactly the fingerprints that all pairs within two bits connect."""
+    sets = {jaccard.shingles(t.encode()).tobytes() for (t,) in spark.read.parquet(f"{FOLDER}/documents.parquet").select("text").dropna().collect()}
+    rows = []
+    for i, data in enumerate(sorted(sets)):
+        hashes = np.frombuffer(data, dtype=np.uint64)
+        bits = sum(1 << k for k in range(64) if 2 * sum(int(h) >> k & 1 for h in hashes) > len(hashes))
+        assert jaccard.fingerprint(hashes) & (1 << 64) - 1 == bits
+        rows.append((i, len(hashes), jaccard.fingerprint(hashes)))
+    fps = np.array([fp for _, _, fp in rows], dtype=np.int64)
+    close = [(i, j) for i in range(len(fps)) for j in np.flatnonzero(np.bitwise_count((fps[i] ^ fps).view(np.uint64)) <= 2).tolist() if i < j]
+    found = jaccard.near(spark.createDataFrame(rows, "id long, n long, fp long"), Scratch(spark, "test")).collect()
+    assert close and all(rows[a][1] == m and rows[b][1] == n for a, m, b, n in found)
+    nodes = [i for i, _, _ in rows]
+    assert connected(nodes, [(a, b) for a, _, b, _ in found]) == connected(nodes, close)
+
+
+def test_near_copies_are_linked_by_their_fingerprints(spark, monkeypatch):
+    """Without any MinHash band, copies within two bits are one group; texts of unlike sets never are."""
+    words = [f"word{i}" for i in range(600)]
+    whole = " ".join(words)
+    of = lambda text: jaccard.fingerprint(jaccard.shingles(text.encode()))
+    copies = (" ".join([*words[:at], "other", *words[at + 1 :]]) for at in range(600))
+    near = [t for t in copies if (of(t) ^ of(whole)).bit_count() <= 2][:3]
+    rows = list(enumerate([whole, *near, " ".join(reversed(words))], 1))
+    monkeypatch.setattr(jaccard, "bands", lambda hashes: hashes[:0])
+    kept = {r.doc_id for r in jaccard.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert len(near) == 3 and kept == stand(dict(rows)) == {1, 5}
+
+
 def cloud(texts, words, most, seed):
     """Texts of a common one with a few words changed: all alike, only few pairs alike enough."""
     rng = np.random.default_rng(seed)
