@@ -177,6 +177,21 @@ def _halfway(fps: DataFrame, threshold: int) -> DataFrame:
     return met.filter(F.size("fps") > 1).select(least.alias("a"), F.explode("fps").alias("b")).filter("a <> b").distinct()
 
 
+def _met(homes: DataFrame, replicas: DataFrame, threshold: int) -> DataFrame:
+    """(a, b): fingerprints at home in an anchor with the replicas there that differ in `threshold` bits or fewer.
+
+    Spark takes the replicas for a table of the size of the fingerprints they are made of, an anchor
+    for each instead of 61: left to itself it broadcasts them, and their rows fill the driver.
+    """
+    guests = replicas.select("anchor", F.col("fp").alias("guest")).hint("merge")
+    differing = F.bit_count(F.col("fp").bitwiseXOR(F.col("guest")))
+    return (
+        homes.join(guests, "anchor")
+        .filter((F.col("fp") < F.col("guest")) & (differing <= threshold))
+        .select(F.col("fp").alias("a"), F.col("guest").alias("b"))
+    )
+
+
 def links(fps: DataFrame, scratch: Scratch, threshold: int = THRESHOLD, crowded: int = CROWDED) -> DataFrame:
     """(a, b): links between distinct fingerprints that connect exactly what differs in `threshold` bits or fewer.
 
@@ -186,14 +201,7 @@ def links(fps: DataFrame, scratch: Scratch, threshold: int = THRESHOLD, crowded:
         raise ValueError("the threshold must be even")
     homes = scratch.put(_replicas(fps, 0), "homes")
     full = scratch.put(homes.groupBy("anchor").count().filter(F.col("count") > crowded).select("anchor"), "crowded")
-    guests = _replicas(fps, threshold).select("anchor", F.col("fp").alias("guest"))
-    differing = F.bit_count(F.col("fp").bitwiseXOR(F.col("guest")))
-    pairs = (
-        homes.join(full, "anchor", "left_anti")
-        .join(guests, "anchor")
-        .filter((F.col("fp") < F.col("guest")) & (differing <= threshold))
-        .select(F.col("fp").alias("a"), F.col("guest").alias("b"))
-    )
+    pairs = _met(homes.join(full, "anchor", "left_anti"), _replicas(fps, threshold), threshold)
     gathered = _replicas(fps, threshold).join(full, "anchor", "left_semi").select("fp").distinct()
     return scratch.put(pairs.unionByName(_halfway(gathered, threshold)), "links")
 
